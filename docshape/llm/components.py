@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .staging import materialize
+from .staging import discard, materialize
 
 #: Rounds after which something is wrong: the contraction needs O(log^2 n) of them.
 MAX_ROUNDS = 60
@@ -45,7 +45,8 @@ def connected_components(spark: SparkSession, edges: DataFrame, a: str, b: str,
     for k in range(1, MAX_ROUNDS):
         if not seen[0]:
             break
-        now = materialize(spark, _small_star(_large_star(now)), f"{name}-{k}")
+        now, old = materialize(spark, _small_star(_large_star(now)), f"{name}-{k}"), now
+        discard(spark, old)
         was, seen = seen, _fingerprint(now)
         if was == seen:
             break

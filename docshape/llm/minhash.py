@@ -7,11 +7,17 @@ every text ("optimal densification"), so that bins stay independent even for tin
 ``ROWS`` bins make a band, a band's values make a bucket.
 
 Plan: texts with equal sets collapse to one representative first.  In each bucket every member
-is paired with the smallest one only (a star: n - 1 candidate edges, not n^2), and the edges
-are confirmed on full sets.  A star alone could miss links between two members that are both
-unlike its centre; buckets whose members are still in several components get a second, exact
-round over just the pairs whose members are in different components.  So each pair that
-shares a bucket is either confirmed, refuted on full sets or already connected.
+is paired with one centre only (a star: n - 1 candidate edges, not n^2), and the edges are
+confirmed on full sets.  The centre is the member that shares most buckets with others: of a group
+of edited copies that is the least edited one, to which nearly all others are linked.
+
+A star alone could miss links between two members that are both unlike its centre.  So buckets
+whose members are still in several components get a second round: members outside the bucket's
+main component are matched with those of other components by long sketches (``SKETCH`` bins of
+two bits, compared inside the join as machine words), and only pairs that the sketches don't rule
+out, five standard errors below the threshold, become candidates and are confirmed on full sets.
+Such a pair is matched in the first of the buckets that it shares.  Each pair that shares a bucket
+is thus confirmed, refuted or already connected.
 """
 
 from __future__ import annotations
@@ -24,12 +30,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .staging import materialize
+from .staging import discard, materialize
 from .textkit import LOWER, Rolling, chunks, mix, set_of, words
 
 BINS, ROWS = 128, 4
 #: Attempts at densifying before an empty bin takes the next filled one.
 ATTEMPTS = 64
+#: Bins of the second round's sketches, and of what share of bins equal sets must not fall short.
+SKETCH, ERRORS = 1024, 5
+_PLANES = SKETCH // 64
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 _WORD = ~set_of("\x20\x09\x0a\x0b\x0c\x0d")
 
@@ -130,15 +139,33 @@ def _signatures(n: int, bins: int, rows: int):
     return run
 
 
+def sketch_words(values: np.ndarray) -> np.ndarray:
+    """The two lowest bits of mixed MinHash values as ``2 * _PLANES`` 64-bit words: first bits first."""
+    low = mix(values)
+    planes = [np.packbits(((low >> np.uint64(k)) & np.uint64(1)).astype(np.uint8), axis=1).view(np.int64) for k in (0, 1)]
+    return np.concatenate(planes, axis=1)
+
+
+def least_agreement(percent: int) -> int:
+    """Sketch bins on which two sets of the least similarity agree, less ``ERRORS`` standard errors."""
+    p = percent / 100 + (1 - percent / 100) / 4
+    return int(SKETCH * p - ERRORS * (SKETCH * p * (1 - p)) ** 0.5)
+
+
 def _blobs(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             held, size, at = [], 0, 0
             for k, one in enumerate(shingle_sets(batch.column("text"), n), 1):
-                held.append(one.tobytes())
-                size += len(held[-1])
-                if size > 16 << 20 or k == batch.num_rows:
-                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, k - at), pa.array(held, pa.binary())], ["doc_id", "shingles"])
+                held.append(one)
+                size += one.nbytes
+                if size > 16 << 20 or len(held) == 1024 or k == batch.num_rows:
+                    sketch = sketch_words(densified(held, SKETCH))
+                    edges = pa.array(np.arange(len(held) + 1, dtype=np.int32) * np.int32(2 * _PLANES))
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column("doc_id").slice(at, k - at), pa.array([x.tobytes() for x in held], pa.binary()), pa.ListArray.from_arrays(edges, pa.array(sketch.reshape(-1)))],
+                        ["doc_id", "shingles", "sketch"],
+                    )
                     held, size, at = [], 0, k
 
     return run
@@ -186,40 +213,60 @@ def near_duplicates(
     alike = ["n_shingles", "d1", "d2"]
     distinct = signed.where("n_shingles > 0 and doc_id is not null").groupBy(*alike).agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
     distinct = materialize(spark, distinct, "minhash-distinct")
-    member = distinct.select("rep", "n_shingles", F.explode("bands").alias("key"))
-    bucket = member.groupBy("key").agg(F.min("rep").alias("centre"), F.count("*").alias("n")).where("n > 1")
-    seats = materialize(spark, member.join(bucket, "key"), "minhash-seats")
-
-    ids = seats.select(F.col("rep").alias("doc_id")).distinct()
-    sets = materialize(spark, base.drop("mark").join(ids, "doc_id", "left_semi").mapInArrow(_blobs(words_per_shingle), "doc_id long, shingles binary"), "minhash-sets")
+    member = distinct.select("rep", "n_shingles", F.posexplode("bands").alias("band", "key"))
+    full = member.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    shared = materialize(spark, member.join(full, "key"), "minhash-shared")
+    # how many others a set meets in all its buckets; the set that meets most is a bucket's centre
+    weight = shared.groupBy("rep").agg(F.sum("n").alias("weight"))
+    ids = materialize(spark, weight, "minhash-ids")
+    ranked = shared.join(ids, "rep")
+    centre = ranked.groupBy("key").agg(F.max(F.struct("weight", F.bitwise_not("rep").alias("least"), "n_shingles")).alias("c"))
+    centre = centre.select("key", F.bitwise_not("c.least").alias("centre"), F.col("c.n_shingles").alias("centre_size"))
+    seats = materialize(spark, shared.join(centre, "key"), "minhash-seats")
+    discard(spark, shared)
+
+    wanted = base.drop("mark").join(ids.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    sets = materialize(spark, wanted.mapInArrow(_blobs(words_per_shingle), "doc_id long, shingles binary, sketch array<long>"), "minhash-sets")
     x, y = (sets.select(F.col("doc_id").alias(end), F.col("shingles").alias(name)) for end, name in (("a", "x"), ("b", "y")))
 
+    def possible(a: str, b: str):
+        return 100 * F.least(a, b) >= percent * F.greatest(a, b)
+
     def confirm(pairs: DataFrame) -> DataFrame:
         return pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(_confirmed(percent), "a long, b long")
 
-    star = seats.where("rep <> centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
+    star = seats.where(F.col("rep") != F.col("centre")).where(possible("n_shingles", "centre_size")).select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
     links = materialize(spark, confirm(star), "minhash-links")
     found = connected_components(spark, links, "a", "b", "minhash-cc")
 
     # Second round: members of one bucket that neither the star nor other buckets connected.
     label = found.select(F.col("node").alias("rep"), "component")
-    placed = seats.where("n > 2").join(label, "rep", "left").select("key", "rep", "centre", "n_shingles", F.coalesce("component", "rep").alias("component"))
+    placed = seats.where("n > 2").join(label, "rep", "left").select("key", "band", "rep", "centre", "n_shingles", F.coalesce("component", "rep").alias("component"))
     mixed = placed.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
-    open_seats = materialize(spark, placed.where("rep <> centre").join(mixed.select("key", "main"), "key"), "minhash-open")
+    open_seats = placed.where("rep <> centre").join(mixed.select("key", "main"), "key")
+    sketch = sets.select(F.col("doc_id").alias("rep"), "sketch")
+    whole = distinct.select("rep", "bands")
+    open_seats = open_seats.join(whole, "rep").where(F.array_contains("bands", F.col("key"))).withColumn("before", F.slice("bands", F.lit(1), F.col("band")))
+    open_seats = open_seats.join(sketch, "rep").select("key", "before", "main", "rep", "n_shingles", "component", *[F.get("sketch", F.lit(k)).alias(f"s{k}") for k in range(2 * _PLANES)])
     p, q = open_seats.where("component <> main").alias("p"), open_seats.alias("q")
+    agreed = sum((F.bit_count(F.bitwise_not(F.col(f"p.s{k}").bitwiseXOR(F.col(f"q.s{k}")).bitwiseOR(F.col(f"p.s{k + _PLANES}").bitwiseXOR(F.col(f"q.s{k + _PLANES}"))))) for k in range(_PLANES)), F.lit(0))
     rest = p.join(
         q,
         (F.col("p.key") == F.col("q.key"))
         & (F.col("p.component") != F.col("q.component"))
         & ((F.col("q.component") == F.col("q.main")) | (F.col("p.rep") < F.col("q.rep")))
-        & (100 * F.least("p.n_shingles", "q.n_shingles") >= percent * F.greatest("p.n_shingles", "q.n_shingles")),
+        & possible("p.n_shingles", "q.n_shingles")
+        & (agreed >= least_agreement(percent))
+        & ~F.arrays_overlap("p.before", "q.before"),
     ).select(F.least("p.rep", "q.rep").alias("a"), F.greatest("p.rep", "q.rep").alias("b"))
     rest = materialize(spark, rest.distinct(), "minhash-rest")
+    discard(spark, seats)
     if rest.head(1):
         more = materialize(spark, confirm(rest), "minhash-more")
         if more.head(1):
             again = more.unionByName(found.select(F.col("component").alias("a"), F.col("node").alias("b")))
             found = connected_components(spark, again, "a", "b", "minhash-cc2")
+    discard(spark, sets, links, rest, ids)
 
     component = distinct.select(*alike, "rep").join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select(*alike, F.coalesce("component", "rep").alias("component"))
     result = signed.select("doc_id", "mark", *alike).join(component, alike, "left")

@@ -27,9 +27,27 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/docshape-{name}-{uuid.uuid4().hex}"
 
 
+#: Spark's setting by which a finished write removes its own shuffle files.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: later use of it neither
-    recomputes it nor depends on any executor that made it."""
+    recomputes it nor depends on any executor that made it, nor on shuffle files."""
     path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    was = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if was is None else spark.conf.set(_CLEANUP, was)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_path = path
+    return out
+
+
+def discard(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete materialized tables that nothing will read again."""
+    for table in tables:
+        path = spark._jvm.org.apache.hadoop.fs.Path(table.staged_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
