@@ -146,7 +146,7 @@ def _decode(data: bytes, start: int, roots: list[Span] | None, stack: list[_Open
             else:
                 kind = {2: "bytes", 3: "text", 4: "array", 5: "map", 6: "tag"}[major]
                 left = None if indefinite else {4: value, 5: 2 * value, 6: 1}.get(major)
-                if left is not None and left > n - pos:
+                if left is not None and left > n - pos and not annotated:
                     raise CBORError(at, "the input ends early")
                 if len(stack) >= MAX_DEPTH:
                     raise CBORError(at, "nested too deeply")
