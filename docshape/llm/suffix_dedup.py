@@ -10,13 +10,17 @@ No machine holds the suffix array of a corpus.  Every string of ``length`` bytes
 strings that select one occurrence of a gram make one slice of the text (``length`` + a few
 bytes).  Only slices of equal grams can hold equal strings, so:
 
-1. grams that occur in more than one document are found from their hashes alone;
-2. the slices of those grams are cut from the texts; equal slices collapse to their first document;
-3. slices are dealt by gram to buckets of bounded size, and each bucket gets its arrays;
-4. the covered ranges go back to their documents.
+1. of a string of ``length`` bytes around a gram, half of what is beside the gram lies on one side:
+   slices whose gram, with so many bytes to its left or to its right, is in more than one document are
+   found from hashes alone;
+2. runs of such slices are cut from the texts, in blocks that end where a gram's hash says so, the
+   same way in every copy; equal blocks collapse to their first document;
+3. blocks that are left are cut into slices, and equal slices collapse to their first document;
+4. slices are dealt by gram to buckets of bounded size, and each bucket gets its arrays;
+5. the covered ranges go back to blocks and documents.
 
 A gram with very many different slices is split: its strings become slices of their own, dealt
-by their content.  Documents that equal an earlier one as a whole skip steps 2 and 3.
+by their content.  Documents that equal an earlier one as a whole skip steps 2 to 4.
 """
 
 from __future__ import annotations
@@ -30,21 +34,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .staging import materialize
-from .textkit import Rolling, chunks, mix, ragged, utf8
+from .staging import discard, materialize
+from .textkit import CHUNK, Rolling, chunks, mix, ragged, utf8
 
 LENGTH, GRAM = 50, 16
-#: Corpus bytes for each bucket of gram hashes; bytes of slices for each bucket of suffixes.
-BUCKET_BYTES, SUFFIX_BYTES = 4 << 20, 1 << 20
+#: Corpus bytes for each bucket of codes; bytes of slices for each bucket of suffixes.
+BUCKET_BYTES, SUFFIX_BYTES = 16 << 20, 1 << 20
 #: Different slices of one gram in one bucket; a gram with more is split.
 MOST_SLICES = 8192
+#: Up to so many split grams are broadcast; more are joined by shuffle.
+BROADCAST_GRAMS = 1_000_000
+#: One in so many grams ends a block.
+BLOCK = 8
 _PIECE, _PLACE_BITS = 1 << 23, 24
 
 
-def slices(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Gram hashes, starts and ends of all slices of the texts in a buffer, by place.
+def slices(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM, hashed: Rolling | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Gram hashes, gram places, starts and ends of all slices of the texts in a buffer, by place.
 
-    The strings of ``length`` bytes of all texts are each in exactly one slice.
+    The strings of ``length`` bytes of all texts are each in exactly one slice.  ``hashed`` may hold
+    the buffer's hashes.
     """
     found = []
     for low in range(0, max(1, len(data)), _PIECE):  # only a very long text has a second piece
@@ -52,7 +61,7 @@ def slices(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: in
         n = len(part) - length + 1
         if n <= 0:
             continue
-        rolling = Rolling(part)
+        rolling = hashed if hashed is not None and len(part) == len(data) else Rolling(part)
         at = np.arange(len(part) - gram + 1)
         hashes = mix(rolling.spans(at, at + gram))
         least = (hashes & ~np.uint64((1 << _PLACE_BITS) - 1)) | at.astype(np.uint64)
@@ -72,50 +81,70 @@ def slices(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: in
             own = chosen[window]
             new = np.flatnonzero(np.concatenate(([True], (own[1:] != own[:-1]) | (window[1:] != window[:-1] + 1))))
             stop = np.append(new[1:], len(window)) - 1
-            found.append((hashes[own[new]], window[new] + low, window[stop] + length + low))
+            found.append((hashes[own[new]], own[new] + low, window[new] + low, window[stop] + length + low))
     if not found:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3))
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
-def _codes(hashes: np.ndarray, buckets: int) -> np.ndarray:
-    """Bucket and 32 more bits of a gram's hash."""
-    return ((hashes >> np.uint64(32)) % np.uint64(buckets)) << np.uint64(32) | (hashes & np.uint64(0xFFFFFFFF))
+def _codes(rolling: Rolling, offsets: np.ndarray, grams: np.ndarray, row: np.ndarray, buckets: int, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each gram, bucket and 32 more bits of the hashes of it and half of the rest of a string to its
+    left, and to its right; 0 where the text ends before."""
+    half = (length - gram) // 2
+    out = []
+    for side, (low, high) in enumerate(((grams - half, grams + gram), (grams, grams + gram + half))):
+        inside = (low >= offsets[row]) & (high <= offsets[row + 1])
+        hashes = mix(rolling.spans(np.where(inside, low, 0), np.where(inside, high, 0)) + np.uint64(side))
+        out.append(np.where(inside, ((hashes >> np.uint64(32)) % np.uint64(buckets)) << np.uint64(32) | (hashes & np.uint64(0xFFFFFFFF)) | np.uint64(1), 0))
+    return tuple(out)
+
+
+def _small_sort(x: np.ndarray) -> np.ndarray:
+    """Stable order of small numbers: 16 bits are sorted by radix."""
+    return np.argsort(x.astype(np.uint16) if len(x) and x.max() < 1 << 16 else x, kind="stable")
 
 
 def _entries(buckets: int, length: int, gram: int):
-    """Rows by bucket: documents, their numbers of grams, and the grams.
+    """Rows by bucket: documents, their numbers of codes, and the codes.
 
-    Of a chunk, a gram's bucket gets only its first document.  The chunk's other documents with
-    this gram know already that it repeats; that goes to buckets dealt by document.
+    Of a chunk, a code's bucket gets only its first document.  The chunk's other documents with
+    this code know already that it repeats; that goes to buckets dealt by document.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            for low, high, data, at in chunks(batch.column("text"), 4 << 20):
+            for low, high, data, at in chunks(batch.column("text"), CHUNK >> 1):
                 raw = data.tobytes()
                 marks = np.array([zlib.crc32(raw[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist())], np.uint32)
-                hashes, starts, _ = slices(data, at, length, gram)
+                rolling = Rolling(data)
+                _, grams, starts, _ = slices(data, at, length, gram, rolling)
                 row = np.searchsorted(at, starts, "right") - 1
-                order = np.lexsort((row, ids[low + row], hashes))
-                hashes, row = hashes[order], row[order]
-                fresh = np.concatenate(([True], hashes[1:] != hashes[:-1]))[: len(hashes)]
-                same = np.concatenate(([False], (hashes[1:] == hashes[:-1]) & (row[1:] == row[:-1])))[: len(hashes)]
-                hashes, row, fresh = hashes[~same], row[~same], fresh[~same]
+                code = np.concatenate(_codes(rolling, at, grams, row, buckets, length, gram))
+                row = np.concatenate((row, row))[code > 0]
+                code = code[code > 0]
+                # rows by id, then stably by code
+                place = np.empty(high - low, np.int64)
+                place[np.argsort(ids[low:high], kind="stable")] = np.arange(high - low)
+                order = _small_sort(place[row])
+                order = order[np.argsort(code[order], kind="stable")]
+                code, row = code[order], row[order]
+                fresh = np.concatenate(([True], code[1:] != code[:-1]))[: len(code)]
+                same = np.concatenate(([False], (code[1:] == code[:-1]) & (row[1:] == row[:-1])))[: len(code)]
+                code, row, fresh = code[~same], row[~same], fresh[~same]
                 group = np.cumsum(fresh) - 1
                 shared = np.bincount(group, minlength=1)[group] > 1 if len(group) else fresh
-                code = _codes(hashes, buckets)
                 out: list[tuple] = []
 
                 def put(kind: int, where: np.ndarray, chosen: np.ndarray) -> None:
-                    by = np.lexsort((chosen_row := row[chosen], where))
-                    where, own, codes = where[by], chosen_row[by], code[chosen][by]
+                    by = _small_sort(row[chosen])
+                    by = by[_small_sort(where[by])]
+                    where, own, codes = where[by], row[chosen][by], code[chosen][by]
                     for k in np.split(np.arange(len(by)), np.flatnonzero(where[1:] != where[:-1]) + 1):
                         if len(k):
                             docs, n = np.unique(own[k], return_counts=True)
-                            grams = codes[k] if kind else (codes[k] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-                            out.append((int(where[k[0]]), kind, ids[low + docs].astype(np.int64).tobytes(), marks[docs].tobytes(), n.astype(np.uint32).tobytes(), grams.tobytes()))
+                            held = codes[k] if kind else (codes[k] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+                            out.append((int(where[k[0]]), kind, ids[low + docs].astype(np.int64).tobytes(), marks[docs].tobytes(), n.astype(np.uint32).tobytes(), held.tobytes()))
 
                 put(0, (code >> np.uint64(32))[fresh].astype(np.int64), np.flatnonzero(fresh))
                 local = np.flatnonzero(shared)
@@ -126,7 +155,7 @@ def _entries(buckets: int, length: int, gram: int):
     return run
 
 
-_ENTRY = ["bucket", "kind", "docs", "marks", "n", "grams"]
+_ENTRY = ["bucket", "kind", "docs", "marks", "n", "codes"]
 _ENTRY_TYPES = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
 
 
@@ -135,14 +164,14 @@ def _numbers(column, kind) -> np.ndarray:
 
 
 def _repeated(table: pa.Table) -> pa.Table:
-    """Of a bucket: for each document its grams that also are in another document."""
+    """Of a bucket: for each document its codes that also are in another document."""
     docs, marks, codes = [], [], []
     for kind in (0, 1):
         own = table.filter(pa.array(table.column("kind").to_numpy() == kind))
         if own.num_rows:
             n = _numbers(own.column("n"), np.uint32)
             doc, mark = np.repeat(_numbers(own.column("docs"), np.int64), n), np.repeat(_numbers(own.column("marks"), np.uint32), n)
-            code = _numbers(own.column("grams"), np.uint64 if kind else np.uint32).astype(np.uint64)
+            code = _numbers(own.column("codes"), np.uint64 if kind else np.uint32).astype(np.uint64)
             if not kind:
                 code |= np.uint64(own.column("bucket")[0].as_py()) << np.uint64(32)
                 order = np.argsort(code, kind="stable")
@@ -161,62 +190,105 @@ def _repeated(table: pa.Table) -> pa.Table:
     begin = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (mark[1:] != mark[:-1]))))[: len(doc)]
     raw, edges = code.tobytes(), np.append(begin, len(doc)).tolist()
     cut = [raw[8 * a : 8 * b] for a, b in zip(edges[:-1], edges[1:])]
-    return pa.table({"doc_id": pa.array(doc[begin]), "mark": pa.array(mark[begin].astype(np.int64)), "grams": pa.array(cut, pa.binary())})
+    return pa.table({"doc_id": pa.array(doc[begin]), "mark": pa.array(mark[begin].astype(np.int64)), "codes": pa.array(cut, pa.binary())})
 
 
 def _cut(buckets: int, length: int, gram: int):
-    """The slices of the listed grams of each document."""
+    """Blocks: runs of adjacent slices with a listed code of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            wanted = batch.column("grams")
+            wanted = batch.column("codes")
             for low, high, data, at in chunks(batch.column("text")):
-                hashes, starts, ends = slices(data, at, length, gram)
-                code, bounds = _codes(hashes, buckets), np.searchsorted(starts, at)
-                keep = np.zeros(len(starts), bool)
-                for k in range(low, high):
-                    own = np.frombuffer(b"".join(x.as_buffer().to_pybytes() for x in wanted[k].values), np.uint64)
-                    a, b = bounds[k - low], bounds[k - low + 1]
-                    keep[a:b] = np.isin(code[a:b], own)
-                chosen = np.flatnonzero(keep)
-                row = np.searchsorted(at, starts[chosen], "right") - 1
+                rolling = Rolling(data)
+                hashes, grams, starts, ends = slices(data, at, length, gram, rolling)
+                row = np.searchsorted(at, starts, "right") - 1
+                left, right = _codes(rolling, at, grams, row, buckets, length, gram)
+                # a code that is in two documents is listed with each document that has it
+                listed = np.unique(_numbers(wanted.slice(low, high - low).flatten(), np.uint64))
+                chosen = np.flatnonzero(np.isin(left, listed) | np.isin(right, listed))
+                row = row[chosen]
+                last = mix(hashes[chosen]) % np.uint64(BLOCK) == 0
+                new = np.concatenate(([True], last[:-1] | (chosen[1:] != chosen[:-1] + 1) | (row[1:] != row[:-1])))[: len(chosen)]
+                first = np.flatnonzero(new)
+                begin, end = starts[chosen[first]], ends[chosen[(np.append(first[1:], len(chosen)) - 1)[: len(first)]]]
+                key, row, lead = mix(rolling.spans(begin, end)), row[first], hashes[chosen[first]]
                 raw = data.tobytes()
-                mark = mix(Rolling(data).spans(starts[chosen], ends[chosen]))
-                for k in range(0, len(chosen), 50_000):
-                    own, r = chosen[k : k + 50_000], row[k : k + 50_000]
-                    index = pa.array(low + r)
+                for k in range(0, len(first), 20_000):
+                    part = slice(k, k + 20_000)
+                    index = pa.array(low + row[part])
                     yield pa.RecordBatch.from_arrays(
                         [
                             batch.column("doc_id").take(index),
                             batch.column("mark").take(index),
-                            pa.array(starts[own] - at[r]),
-                            pa.array(code[own].view(np.int64)),
-                            pa.array(mark[k : k + 50_000].view(np.int64)),
-                            pa.array([raw[a:b] for a, b in zip(starts[own].tolist(), ends[own].tolist())], pa.binary()),
+                            pa.array(begin[part] - at[row[part]]),
+                            pa.array(lead[part].view(np.int64)),
+                            pa.array(key[part].view(np.int64)),
+                            pa.array([raw[a:b] for a, b in zip(begin[part].tolist(), end[part].tolist())], pa.binary()),
+                        ],
+                        ["doc_id", "mark", "at", "lead", "block_key", "block"],
+                    )
+
+    return run
+
+
+def _recut(length: int, gram: int):
+    """The slices of distinct blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low, _, data, at in chunks(batch.column("block")):
+                rolling = Rolling(data)
+                hashes, _, starts, ends = slices(data, at, length, gram, rolling)
+                row, raw = np.searchsorted(at, starts, "right") - 1, data.tobytes()
+                key = mix(rolling.spans(starts, ends))
+                for k in range(0, len(starts), 50_000):
+                    part = slice(k, k + 50_000)
+                    index = pa.array(low + row[part])
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            *(batch.column(c).take(index) for c in ("lead", "block_key", "first_doc")),
+                            pa.array((starts[part] - at[row[part]]).astype(np.int32)),
+                            pa.array(hashes[part].view(np.int64)),
+                            pa.array(key[part].view(np.int64)),
+                            pa.array([raw[a:b] for a, b in zip(starts[part].tolist(), ends[part].tolist())], pa.binary()),
                         ],
-                        ["doc_id", "mark", "at", "gram", "slice_key", "slice"],
+                        ["lead", "block_key", "first_doc", "at", "gram", "slice_key", "slice"],
                     )
 
     return run
 
 
-_LEVELS = (7, 14, 28, 56)
+#: Suffixes are told apart by so many bytes: matches are no longer than that.
+DEPTH = 56
+_SYMBOLS, _BITS = 7, 9  # in one 64-bit word; a byte is 1 to 256, a string's end 0
 
 
-def suffix_ranks(symbols: np.ndarray, levels: tuple[int, ...] = _LEVELS) -> list[np.ndarray]:
-    """For each level, ranks of all suffixes by their first so many symbols (0-256), by doubling."""
-    n = len(symbols)
-    padded = np.concatenate((symbols.astype(np.int64), np.zeros(levels[-1] + 7, np.int64)))
-    key = np.zeros(n, np.int64)
-    for k in range(7):
-        key = key << 9 | padded[k : k + n]
-    out = [np.unique(key, return_inverse=True)[1]]
-    for a, b in zip(levels, levels[1:]):
-        right = np.concatenate((out[-1][b - a :], np.full(b - a, -1))) + 1
-        out.append(np.unique(out[-1] * np.int64(n + 1) + right, return_inverse=True)[1])
+def suffix_words(data: np.ndarray, places: np.ndarray, rest: np.ndarray) -> np.ndarray:
+    """The first ``DEPTH`` symbols of the suffixes at ``places``, seven to a word, a row of words for
+    each seven; ``rest`` tells how many bytes a suffix has."""
+    padded = np.concatenate((data.astype(np.uint64) + np.uint64(1), np.zeros(DEPTH + _SYMBOLS, np.uint64)))
+    word = np.zeros(len(data) + DEPTH, np.uint64)
+    for k in range(_SYMBOLS):
+        word = word << np.uint64(_BITS) | padded[k : k + len(word)]
+    out = np.empty((DEPTH // _SYMBOLS, len(places)), np.uint64)
+    for k in range(len(out)):
+        beyond = (np.clip(_SYMBOLS * (k + 1) - rest, 0, _SYMBOLS) * _BITS).astype(np.uint64)
+        out[k] = word[places + _SYMBOLS * k] >> beyond << beyond
     return out
 
 
+def common_prefixes(words: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Length in bytes, up to ``DEPTH``, of what columns ``a`` and ``b`` of ``words`` share."""
+    total, going = np.zeros(len(a), np.int64), np.arange(len(a))
+    for row in words:
+        differ = row[a[going]] ^ row[b[going]]
+        for k in range(_SYMBOLS):
+            total[going] += differ >> np.uint64(_BITS * (_SYMBOLS - 1 - k)) == 0
+        going = going[differ == 0]
+    return total
+
+
 def _previous_smaller(value: np.ndarray) -> np.ndarray:
     """Index of the nearest smaller value to the left, or -1, for all places at once.
 
@@ -234,67 +306,60 @@ def _previous_smaller(value: np.ndarray) -> np.ndarray:
     return at[1:] - 1
 
 
-def longest_previous_factors(symbols: np.ndarray, rest: np.ndarray, owner: np.ndarray) -> np.ndarray:
-    """For each place, the longest match (up to 56) with a place of a smaller owner.
+def longest_previous_factors(data: np.ndarray, offsets: np.ndarray, owner: np.ndarray, least: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """Places with ``least`` bytes or more to their string's end, and for each the longest match, up
+    to ``DEPTH``, with a place in a string of a smaller owner.
 
-    ``symbols`` holds strings of 1-256, each ended by a 0; ``rest`` how many symbols a place has
-    up to that end; ``owner`` an integer for each place.
+    ``data`` holds strings at ``offsets``, ``owner`` an integer for each.  Matches never cross
+    strings.  In the sorted suffixes, the best match with smaller owners is the nearest of them
+    before or after a suffix.
     """
-    ranks = suffix_ranks(symbols)
-    order = np.argsort(ranks[-1], kind="stable")
-    value = owner[order]
-    padded = np.concatenate((symbols, np.zeros(8, symbols.dtype)))
-
-    def common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        total = np.zeros(len(a), np.int64)
-        n = len(symbols)
-        same = ranks[-1][a] == ranks[-1][b]
-        for rank, level in zip(reversed(ranks[:-1]), reversed(_LEVELS[:-1])):
-            x, y = np.minimum(a + total, n - 1), np.minimum(b + total, n - 1)
-            total += np.where(rank[x] == rank[y], level, 0)
-        going = np.ones(len(a), bool)
-        for _ in range(6):
-            going &= padded[np.minimum(a + total, n)] == padded[np.minimum(b + total, n)]
-            total += going
-        return np.where(same, _LEVELS[-1], total)
-
-    out = np.zeros(len(symbols), np.int64)
+    size = np.diff(offsets)
+    number = np.maximum(size - least + 1, 0)
+    places = ragged(offsets[:-1], number)
+    if not len(places):
+        return places, places
+    rest = np.repeat(offsets[1:], number) - places
+    words = suffix_words(data, places, rest)
+    order = np.lexsort(words[::-1])
+    words, rest = words[:, order], rest[order]
+    value = np.repeat(owner, number)[order]
+    best = np.zeros(len(places), np.int64)
     for near in (_previous_smaller(value), len(value) - 1 - _previous_smaller(value[::-1])[::-1]):
         has = np.flatnonzero((near >= 0) & (near < len(value)))
-        a, b = order[has], order[near[has]]
-        out[a] = np.maximum(out[a], np.minimum(common(a, b), rest[a]))
-    return out
+        match = common_prefixes(words, has, near[has])
+        best[has] = np.maximum(best[has], np.minimum(match, np.minimum(rest[has], rest[near[has]])))
+    out = np.empty(len(places), np.int64)
+    out[order] = best
+    return places, out
+
+
+_PLACE = ["gram", "slice_key", "holders", "lead", "block_key", "at"]
 
 
 def _covered(length: int):
     """Ranges of a bucket's slices that also are in slices of earlier documents."""
 
     def run(table: pa.Table) -> pa.Table:
+        # a gram's only slice has nothing to match
+        gram = table.column("gram").to_numpy()
+        _, which, n = np.unique(gram, return_inverse=True, return_counts=True)
+        table = table.filter(pa.array(n[which] > 1))
         data, at = utf8(table.column("slice").combine_chunks())
-        size = np.diff(at)
-        n = len(size)
-        symbols = np.zeros(len(data) + n, np.int16)
-        place = np.arange(len(data)) + np.repeat(np.arange(n), size)
-        symbols[place] = data.astype(np.int16) + 1
-        who = np.repeat(np.arange(n), size + 1)
-        end = at[1:] + np.arange(n)
-        rest = end[who] - np.arange(len(symbols))
-        first = table.column("first_doc").to_numpy()
-        match = longest_previous_factors(symbols, rest, first[who])
-        hit = np.flatnonzero(match >= length)
-        row = who[hit]
-        begin = hit - (end - size)[row]
+        owner, shift = table.column("owner").to_numpy(), table.column("shift").to_numpy()
+        places, match = longest_previous_factors(data, at, owner, length)
+        hit = places[match >= length]
+        row = np.searchsorted(at, hit, "right") - 1
         # runs of starts make one range
-        new = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (hit[1:] != hit[:-1] + 1))))[: len(hit)]
+        new = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (hit[1:] != hit[:-1] + 1)))[: len(hit)])
         last = (np.append(new[1:], len(hit)) - 1)[: len(new)]
-        shift = table.column("shift").to_numpy()
-        index = pa.array(row[new])
+        row, index = row[new], pa.array(row[new])
+        begin = at[:-1][row] - shift[row]
         return pa.table(
             {
-                "gram": table.column("gram").take(index),
-                "slice_key": table.column("slice_key").take(index),
-                "low": pa.array((begin[new] + shift[row[new]]).astype(np.int32)),
-                "high": pa.array((begin[last] + length + shift[row[new]]).astype(np.int32)),
+                **{c: table.column(c).take(index) for c in _PLACE},
+                "low": pa.array((hit[new] - begin).astype(np.int32)),
+                "high": pa.array((hit[last] + length - begin).astype(np.int32)),
             }
         )
 
@@ -333,22 +398,22 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, *, length: int = LENGTH
 
     ``kept`` holds the bytes of the text (UTF-8) without those covered by a string of ``length``
     bytes that also starts in a document with a smaller doc_id; what counts is the input, not
-    what is left.  ``length`` is 16 to 56.
+    what is left.  ``length`` is 16 to 56 (``GRAM`` to ``DEPTH``).
 
     Defined cases: a null text is empty; a text under ``length`` bytes keeps everything.
     Rows with one doc_id are no reason to remove anything from each other; repeated rows get
     equal results.  A row with a null doc_id has no place in the order: it keeps everything and
     removes nothing elsewhere.  Other columns are not read.  An empty table gives an empty result.
     """
-    if not gram <= length <= _LEVELS[-1]:
-        raise ValueError(f"length must be from {gram} to {_LEVELS[-1]}")
+    if not gram <= length <= DEPTH:
+        raise ValueError(f"length must be from {gram} to {DEPTH}")
     every = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     base = every.where("doc_id is not null")
     total = base.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     buckets = max(1, -(-total // BUCKET_BYTES))
 
-    entries = base.mapInArrow(_entries(buckets, length, gram), "bucket int, kind int, docs binary, marks binary, n binary, grams binary")
-    repeated = entries.groupBy("bucket").applyInArrow(_repeated, "doc_id long, mark long, grams binary")
+    entries = base.mapInArrow(_entries(buckets, length, gram), "bucket int, kind int, docs binary, marks binary, n binary, codes binary")
+    repeated = entries.groupBy("bucket").applyInArrow(_repeated, "doc_id long, mark long, codes binary")
     repeated = materialize(spark, repeated, "repeats-grams")
 
     marked = base.select("doc_id", F.crc32("text").alias("mark"), F.sha2("text", 256).alias("sha"), F.octet_length("text").alias("n"))
@@ -357,31 +422,52 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, *, length: int = LENGTH
     copies = materialize(spark, copies, "repeats-copies")
 
     keyed = base.withColumn("mark", F.crc32("text"))
-    wanted = repeated.join(copies, ["doc_id", "mark"], "left_anti").groupBy("doc_id", "mark").agg(F.collect_list("grams").alias("grams"))
-    found = keyed.join(wanted, ["doc_id", "mark"]).select("doc_id", "mark", "text", "grams")
-    found = materialize(spark, found.mapInArrow(_cut(buckets, length, gram), "doc_id long, mark long, at long, gram long, slice_key long, slice binary"), "repeats-slices")
-
-    distinct = found.groupBy("gram", "slice_key").agg(F.min("doc_id").alias("first_doc"), F.first("slice").alias("slice"))
-    distinct = materialize(spark, distinct, "repeats-distinct")
+    listed = repeated.groupBy("doc_id", "mark").agg(F.collect_list("codes").alias("codes"))
+    wanted = listed.join(copies, ["doc_id", "mark"], "left_anti")
+    cut = keyed.join(wanted, ["doc_id", "mark"]).select("doc_id", "mark", "text", "codes").mapInArrow(_cut(buckets, length, gram), "doc_id long, mark long, at long, lead long, block_key long, block binary")
+    found = materialize(spark, cut, "repeats-found")
+    discard(spark, repeated)
+    block = ["lead", "block_key"]
+    blocks = materialize(spark, found.groupBy(*block).agg(F.min("doc_id").alias("first_doc"), F.first("block").alias("block")), "repeats-blocks")
+
+    one = ["gram", "slice_key"]
+    parted = blocks.mapInArrow(_recut(length, gram), "lead long, block_key long, first_doc long, at int, gram long, slice_key long, slice binary")
+    place = F.min(F.struct(F.col("first_doc").alias("owner"), *block, "at")).alias("place")
+    distinct = parted.groupBy(*one).agg(place, F.count("*").alias("holders"), F.first("slice").alias("slice"))
+    distinct = materialize(spark, distinct.select(*one, "place.*", "holders", "slice"), "repeats-slices")
     size = distinct.agg(F.sum(F.octet_length("slice")).alias("n")).first()["n"] or 0
     parts = max(1, -(-size // SUFFIX_BYTES))
-    # at most a (1 / MOST_SLICES)th of the slices' number
-    split = distinct.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") > MOST_SLICES).select("gram")
-    calm = distinct.join(split, "gram", "left_anti").select("gram", "slice_key", "first_doc", "slice", F.lit(0).alias("shift"), F.pmod("gram", F.lit(parts)).cast("int").alias("part"))
-    windows = distinct.join(split, "gram", "left_semi").select(
-        "gram", "slice_key", "first_doc", "slice", F.explode(F.sequence(F.lit(0), F.octet_length("slice") - length)).alias("shift")
-    )
-    windows = windows.withColumn("slice", F.substring("slice", F.col("shift") + 1, F.lit(length))).withColumn("part", F.pmod(F.xxhash64("slice"), F.lit(parts)).cast("int"))
-    covered = calm.unionByName(windows).groupBy("part").applyInArrow(_covered(length), "gram long, slice_key long, low int, high int")
-    covered = covered.groupBy("gram", "slice_key").agg(F.collect_list(F.struct("low", "high")).alias("own"))
-    known = distinct.select("gram", "slice_key", "first_doc").join(covered, ["gram", "slice_key"], "left")
-
-    whole = F.array(F.struct(F.lit(0).alias("low"), F.octet_length("slice").alias("high")))
-    hit = found.join(known, ["gram", "slice_key"]).select("doc_id", "mark", "at", F.when(F.col("doc_id") > F.col("first_doc"), whole).otherwise(F.col("own")).alias("own"))
-    hit = hit.where("own is not null").select("doc_id", "mark", "at", F.explode("own").alias("r"))
-    ranges = hit.select("doc_id", "mark", F.struct((F.col("at") + F.col("r.low")).alias("low"), (F.col("at") + F.col("r.high")).alias("high")).alias("r"))
-    ranges = ranges.groupBy("doc_id", "mark").agg(F.collect_set("r").alias("ranges"), F.lit(False).alias("whole"))
+    crowded = materialize(spark, distinct.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") > MOST_SLICES).select("gram"), "repeats-crowded")
+    n_crowded = crowded.count()
+    dealt = distinct.select(*_PLACE, "owner", "slice", F.lit(0).alias("shift"), F.pmod("gram", F.lit(parts)).cast("int").alias("part"))
+    if n_crowded:
+        few = F.broadcast(crowded) if n_crowded <= BROADCAST_GRAMS else crowded
+        windows = distinct.join(few, "gram", "left_semi").select(*_PLACE, "owner", "slice", F.explode(F.sequence(F.lit(0), F.octet_length("slice") - length)).alias("shift"))
+        windows = windows.withColumn("slice", F.substring("slice", F.col("shift") + 1, F.lit(length))).withColumn("part", F.pmod(F.xxhash64("slice"), F.lit(parts)).cast("int"))
+        dealt = dealt.join(few, "gram", "left_anti").unionByName(windows)
+    covered = dealt.groupBy("part").applyInArrow(_covered(length), "gram long, slice_key long, holders long, lead long, block_key long, at int, low int, high int")
+    covered = materialize(spark, covered, "repeats-covered")
+
+    def shifted() -> list:
+        return [(F.col("at") + F.col("low")).cast("long").alias("low"), (F.col("at") + F.col("high")).cast("long").alias("high")]
+
+    # a slice in one block only: its ranges are the block's; else each block that holds it gets them
+    # or, if its first document comes after the slice's, all of it
+    owners = distinct.where("holders > 1").select(*one, "owner")
+    held = parted.select(*one, *block, "first_doc", "at", F.octet_length("slice").alias("size")).join(owners, one)
+    later = held.where("first_doc > owner").select(*block, "at", F.lit(0).alias("low"), F.col("size").alias("high"))
+    equal = held.where("first_doc = owner").select(*one, *block, "at").join(covered.where("holders > 1").select(*one, "low", "high"), one).select(*block, "at", "low", "high")
+    single = covered.where("holders = 1").select(*block, "at", "low", "high")
+    in_blocks = single.unionByName(later).unionByName(equal).groupBy(*block).agg(F.collect_set(F.struct(*shifted())).alias("own"))
+    judged = materialize(spark, blocks.select(*block, "first_doc", F.octet_length("block").cast("long").alias("size")).join(in_blocks, block, "left"), "repeats-judged")
+    discard(spark, blocks, distinct, covered, crowded)
+    whole = F.array(F.struct(F.lit(0).cast("long").alias("low"), F.col("size").alias("high")))
+    hit = found.drop("block").join(judged, block).withColumn("own", F.when(F.col("doc_id") > F.col("first_doc"), whole).otherwise(F.col("own"))).where("own is not null")
+    hit = hit.select("doc_id", "mark", "at", F.explode("own").alias("r")).select("doc_id", "mark", "at", "r.low", "r.high")
+    ranges = hit.select("doc_id", "mark", F.struct(*shifted()).alias("r")).groupBy("doc_id", "mark").agg(F.collect_set("r").alias("ranges"), F.lit(False).alias("whole"))
     plan = ranges.unionByName(copies.select("doc_id", "mark", F.lit(None).cast("array<struct<low:bigint,high:bigint>>").alias("ranges"), F.lit(True).alias("whole")))
+    plan = materialize(spark, plan, "repeats-ranges")
+    discard(spark, found, judged, copies)
     # rows without doc_id match nothing and pass
     judged = every.withColumn("mark", F.crc32("text")).join(plan, ["doc_id", "mark"], "left").select("doc_id", "text", "ranges", F.coalesce("whole", F.lit(False)).alias("whole"))
     return judged.mapInArrow(_pruned, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
