@@ -229,7 +229,7 @@ def train(spark: SparkSession, docs: DataFrame, vocabulary: list[bytes], *, per_
 def _predict(model: Model | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low, high, data, at in chunks(batch.column("text"), CHUNK >> 1):
+            for low, high, data, at in chunks(batch.column("text"), CHUNK):
                 raw = data.tobytes()
                 texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
                 language, score = [], []

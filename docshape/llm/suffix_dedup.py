@@ -35,13 +35,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .staging import discard, materialize
-from .textkit import CHUNK, Rolling, chunks, mix, ragged, utf8
+from .textkit import Rolling, chunks, mix, ragged, utf8
 
 LENGTH, GRAM = 50, 16
 #: Corpus bytes for each bucket of codes; bytes of slices for each bucket of suffixes.
 BUCKET_BYTES, SUFFIX_BYTES = 16 << 20, 1 << 20
 #: Different slices of one gram in one bucket; a gram with more is split.
 MOST_SLICES = 8192
+#: Bytes of text that are scanned for codes at a time: a code goes to its bucket once for each.
+SCANNED = 1 << 20
 #: Up to so many split grams are broadcast; more are joined by shuffle.
 BROADCAST_GRAMS = 1_000_000
 #: One in so many grams ends a block.
@@ -114,7 +116,7 @@ def _entries(buckets: int, length: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            for low, high, data, at in chunks(batch.column("text"), CHUNK >> 1):
+            for low, high, data, at in chunks(batch.column("text"), SCANNED):
                 raw = data.tobytes()
                 marks = np.array([zlib.crc32(raw[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist())], np.uint32)
                 rolling = Rolling(data)
@@ -423,7 +425,8 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, *, length: int = LENGTH
 
     keyed = base.withColumn("mark", F.crc32("text"))
     listed = repeated.groupBy("doc_id", "mark").agg(F.collect_list("codes").alias("codes"))
-    wanted = listed.join(copies, ["doc_id", "mark"], "left_anti")
+    # as an outer join it stays above the grouping: a row for each document, not for each of its buckets
+    wanted = listed.join(copies.withColumn("copy", F.lit(True)), ["doc_id", "mark"], "left").where("copy is null").drop("copy")
     cut = keyed.join(wanted, ["doc_id", "mark"]).select("doc_id", "mark", "text", "codes").mapInArrow(_cut(buckets, length, gram), "doc_id long, mark long, at long, lead long, block_key long, block binary")
     found = materialize(spark, cut, "repeats-found")
     discard(spark, repeated)
