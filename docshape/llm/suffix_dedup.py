@@ -440,10 +440,11 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, *, length: int = LENGTH
     distinct = materialize(spark, distinct.select(*one, "place.*", "holders", "slice"), "repeats-slices")
     size = distinct.agg(F.sum(F.octet_length("slice")).alias("n")).first()["n"] or 0
     parts = max(1, -(-size // SUFFIX_BYTES))
-    crowded = materialize(spark, distinct.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") > MOST_SLICES).select("gram"), "repeats-crowded")
-    n_crowded = crowded.count()
+    crowded = distinct.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") > MOST_SLICES).select("gram")
+    n_crowded = crowded.count()  # most often none: nothing is written then
     dealt = distinct.select(*_PLACE, "owner", "slice", F.lit(0).alias("shift"), F.pmod("gram", F.lit(parts)).cast("int").alias("part"))
     if n_crowded:
+        crowded = materialize(spark, crowded, "repeats-crowded")
         few = F.broadcast(crowded) if n_crowded <= BROADCAST_GRAMS else crowded
         windows = distinct.join(few, "gram", "left_semi").select(*_PLACE, "owner", "slice", F.explode(F.sequence(F.lit(0), F.octet_length("slice") - length)).alias("shift"))
         windows = windows.withColumn("slice", F.substring("slice", F.col("shift") + 1, F.lit(length))).withColumn("part", F.pmod(F.xxhash64("slice"), F.lit(parts)).cast("int"))
@@ -463,7 +464,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, *, length: int = LENGTH
     single = covered.where("holders = 1").select(*block, "at", "low", "high")
     in_blocks = single.unionByName(later).unionByName(equal).groupBy(*block).agg(F.collect_set(F.struct(*shifted())).alias("own"))
     judged = materialize(spark, blocks.select(*block, "first_doc", F.octet_length("block").cast("long").alias("size")).join(in_blocks, block, "left"), "repeats-judged")
-    discard(spark, blocks, distinct, covered, crowded)
+    discard(spark, blocks, distinct, covered, *([crowded] if n_crowded else []))
     whole = F.array(F.struct(F.lit(0).cast("long").alias("low"), F.col("size").alias("high")))
     hit = found.drop("block").join(judged, block).withColumn("own", F.when(F.col("doc_id") > F.col("first_doc"), whole).otherwise(F.col("own"))).where("own is not null")
     hit = hit.select("doc_id", "mark", "at", F.explode("own").alias("r")).select("doc_id", "mark", "at", "r.low", "r.high")
