@@ -165,33 +165,65 @@ def _numbers(column, kind) -> np.ndarray:
     return np.frombuffer(utf8(column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column)[0].tobytes(), kind)
 
 
-def _repeated(table: pa.Table) -> pa.Table:
-    """Of a bucket: for each document its codes that also are in another document."""
-    docs, marks, codes = [], [], []
-    for kind in (0, 1):
-        own = table.filter(pa.array(table.column("kind").to_numpy() == kind))
-        if own.num_rows:
-            n = _numbers(own.column("n"), np.uint32)
-            doc, mark = np.repeat(_numbers(own.column("docs"), np.int64), n), np.repeat(_numbers(own.column("marks"), np.uint32), n)
-            code = _numbers(own.column("codes"), np.uint64 if kind else np.uint32).astype(np.uint64)
-            if not kind:
-                code |= np.uint64(own.column("bucket")[0].as_py()) << np.uint64(32)
-                order = np.argsort(code, kind="stable")
-                doc, mark, code = doc[order], mark[order], code[order]
-                new = np.concatenate(([True], code[1:] != code[:-1]))
-                group = np.cumsum(new) - 1
-                begin = np.flatnonzero(new)
-                mixed = (np.minimum.reduceat(doc, begin) < np.maximum.reduceat(doc, begin))[group]
-                doc, mark, code = doc[mixed], mark[mixed], code[mixed]
-            docs.append(doc)
-            marks.append(mark)
-            codes.append(code)
-    doc, mark, code = np.concatenate(docs), np.concatenate(marks), np.concatenate(codes)
-    order = np.lexsort((mark, doc))
-    doc, mark, code = doc[order], mark[order], code[order]
-    begin = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (mark[1:] != mark[:-1]))))[: len(doc)]
-    raw, edges = code.tobytes(), np.append(begin, len(doc)).tolist()
-    cut = [raw[8 * a : 8 * b] for a, b in zip(edges[:-1], edges[1:])]
+def _repeated(buckets: int):
+    """Of a bucket: codes that also are in another document, packed by where their documents are dealt."""
+
+    def run(table: pa.Table) -> pa.Table:
+        docs, marks, codes = [], [], []
+        for kind in (0, 1):
+            own = table.filter(pa.array(table.column("kind").to_numpy() == kind))
+            if own.num_rows:
+                n = _numbers(own.column("n"), np.uint32)
+                doc, mark = np.repeat(_numbers(own.column("docs"), np.int64), n), np.repeat(_numbers(own.column("marks"), np.uint32), n)
+                code = _numbers(own.column("codes"), np.uint64 if kind else np.uint32).astype(np.uint64)
+                if not kind:
+                    code |= np.uint64(own.column("bucket")[0].as_py()) << np.uint64(32)
+                    order = np.argsort(code, kind="stable")
+                    doc, mark, code = doc[order], mark[order], code[order]
+                    new = np.concatenate(([True], code[1:] != code[:-1]))
+                    group = np.cumsum(new) - 1
+                    begin = np.flatnonzero(new)
+                    mixed = (np.minimum.reduceat(doc, begin) < np.maximum.reduceat(doc, begin))[group]
+                    doc, mark, code = doc[mixed], mark[mixed], code[mixed]
+                docs.append(doc)
+                marks.append(mark)
+                codes.append(code)
+        doc, mark, code = np.concatenate(docs), np.concatenate(marks), np.concatenate(codes)
+        deal = (mix(doc.astype(np.uint64) ^ mark.astype(np.uint64) << np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+        order = np.lexsort((mark, doc, deal))
+        doc, mark, code, deal = doc[order], mark[order], code[order], deal[order]
+        begin = _runs(doc, mark)
+        n = np.diff(np.append(begin, len(doc))).astype(np.uint32)
+        doc, mark, own = doc[begin], mark[begin], deal[begin]
+        first = _runs(own)
+        at, code_at = np.append(first, len(own)).tolist(), np.append(begin[first], len(code)).tolist()
+        packs = {
+            name: pa.array([values[low:high].tobytes() for low, high in zip(edges[:-1], edges[1:])], pa.binary())
+            for name, values, edges in (("docs", doc, at), ("marks", mark, at), ("n", n, at), ("codes", code, code_at))
+        }
+        return pa.table({"deal": pa.array(own[first])} | packs)
+
+    return run
+
+
+def _runs(*columns: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    new = np.zeros(len(columns[0]), bool)
+    new[:1] = True
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(new)
+
+
+def _gathered(table: pa.Table) -> pa.Table:
+    """Of the documents dealt to one place: for each all its codes, of all buckets."""
+    doc, mark = _numbers(table.column("docs"), np.int64), _numbers(table.column("marks"), np.uint32)
+    n, code = _numbers(table.column("n"), np.uint32).astype(np.int64), _numbers(table.column("codes"), np.uint64)
+    start, order = np.cumsum(n) - n, np.lexsort((mark, doc))
+    doc, mark, n = doc[order], mark[order], n[order]
+    raw, begin = code[ragged(start[order], n)].tobytes(), _runs(doc, mark)
+    edges = (8 * np.append(np.cumsum(n) - n, n.sum())[np.append(begin, len(n))]).tolist()
+    cut = [raw[low:high] for low, high in zip(edges[:-1], edges[1:])]
     return pa.table({"doc_id": pa.array(doc[begin]), "mark": pa.array(mark[begin].astype(np.int64)), "codes": pa.array(cut, pa.binary())})
 
 
@@ -207,7 +239,7 @@ def _cut(buckets: int, length: int, gram: int):
                 row = np.searchsorted(at, starts, "right") - 1
                 left, right = _codes(rolling, at, grams, row, buckets, length, gram)
                 # a code that is in two documents is listed with each document that has it
-                listed = np.unique(_numbers(wanted.slice(low, high - low).flatten(), np.uint64))
+                listed = np.unique(_numbers(wanted.slice(low, high - low), np.uint64))
                 chosen = np.flatnonzero(np.isin(left, listed) | np.isin(right, listed))
                 row = row[chosen]
                 last = mix(hashes[chosen]) % np.uint64(BLOCK) == 0
@@ -415,7 +447,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, *, length: int = LENGTH
     buckets = max(1, -(-total // BUCKET_BYTES))
 
     entries = base.mapInArrow(_entries(buckets, length, gram), "bucket int, kind int, docs binary, marks binary, n binary, codes binary")
-    repeated = entries.groupBy("bucket").applyInArrow(_repeated, "doc_id long, mark long, codes binary")
+    repeated = entries.groupBy("bucket").applyInArrow(_repeated(buckets), "deal long, docs binary, marks binary, n binary, codes binary")
     repeated = materialize(spark, repeated, "repeats-grams")
 
     marked = base.select("doc_id", F.crc32("text").alias("mark"), F.sha2("text", 256).alias("sha"), F.octet_length("text").alias("n"))
@@ -424,9 +456,8 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, *, length: int = LENGTH
     copies = materialize(spark, copies, "repeats-copies")
 
     keyed = base.withColumn("mark", F.crc32("text"))
-    listed = repeated.groupBy("doc_id", "mark").agg(F.collect_list("codes").alias("codes"))
-    # as an outer join it stays above the grouping: a row for each document, not for each of its buckets
-    wanted = listed.join(copies.withColumn("copy", F.lit(True)), ["doc_id", "mark"], "left").where("copy is null").drop("copy")
+    listed = repeated.groupBy("deal").applyInArrow(_gathered, "doc_id long, mark long, codes binary")
+    wanted = listed.join(copies, ["doc_id", "mark"], "left_anti")
     cut = keyed.join(wanted, ["doc_id", "mark"]).select("doc_id", "mark", "text", "codes").mapInArrow(_cut(buckets, length, gram), "doc_id long, mark long, at long, lead long, block_key long, block binary")
     found = materialize(spark, cut, "repeats-found")
     discard(spark, repeated)
