@@ -16,6 +16,9 @@ whose members are still in several components get a second round: members outsid
 main component are matched with those of other components by long sketches (``SKETCH`` bins of
 two bits, compared inside the join as machine words), and only pairs that the sketches don't rule
 out, five standard errors below the threshold, become candidates and are confirmed on full sets.
+Bins of a set of few shingles depend on each other, which widens that error: a pair whose smaller
+set has at most ``FEW`` shingles is compared by parities instead.  Each shingle flips one of
+``SKETCH`` bits, so that sets differ by at least the bits that do: no link can be ruled out.
 Such a pair is matched in the first of the buckets that it shares.  Each pair that shares a bucket
 is thus confirmed, refuted or already connected.
 """
@@ -38,6 +41,8 @@ BINS, ROWS = 128, 4
 ATTEMPTS = 64
 #: Bins of the second round's sketches, and of what share of bins equal sets must not fall short.
 SKETCH, ERRORS = 1024, 5
+#: Shingles up to which a pair's smaller set is compared by parities in the second round.
+FEW = 128
 _PLANES = SKETCH // 64
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 _WORD = ~set_of("\x20\x09\x0a\x0b\x0c\x0d")
@@ -152,7 +157,13 @@ def least_agreement(percent: int) -> int:
     return int(SKETCH * p - ERRORS * (SKETCH * p * (1 - p)) ** 0.5)
 
 
-def _blobs(n: int):
+def parity_words(one: np.ndarray) -> np.ndarray:
+    """``_PLANES`` 64-bit words; each hash flips the bit that its top bits pick."""
+    at = (one >> np.uint64(64 - (SKETCH.bit_length() - 1))).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=SKETCH) & 1).astype(np.uint8)).view(np.int64)
+
+
+def _blobs(n: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             held, size, at = [], 0, 0
@@ -162,9 +173,11 @@ def _blobs(n: int):
                 if size > 16 << 20 or len(held) == 1024 or k == batch.num_rows:
                     sketch = sketch_words(densified(held, SKETCH))
                     edges = pa.array(np.arange(len(held) + 1, dtype=np.int32) * np.int32(2 * _PLANES))
+                    # no set that can be linked with one of FEW shingles is larger than this
+                    parity = pa.array([parity_words(x) if percent * len(x) <= 100 * FEW else None for x in held], pa.list_(pa.int64()))
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column("doc_id").slice(at, k - at), pa.array([x.tobytes() for x in held], pa.binary()), pa.ListArray.from_arrays(edges, pa.array(sketch.reshape(-1)))],
-                        ["doc_id", "shingles", "sketch"],
+                        [batch.column("doc_id").slice(at, k - at), pa.array([x.tobytes() for x in held], pa.binary()), pa.ListArray.from_arrays(edges, pa.array(sketch.reshape(-1))), parity],
+                        ["doc_id", "shingles", "sketch", "parity"],
                     )
                     held, size, at = [], 0, k
 
@@ -226,7 +239,7 @@ def near_duplicates(
     discard(spark, shared)
 
     wanted = base.drop("mark").join(ids.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    sets = materialize(spark, wanted.mapInArrow(_blobs(words_per_shingle), "doc_id long, shingles binary, sketch array<long>"), "minhash-sets")
+    sets = materialize(spark, wanted.mapInArrow(_blobs(words_per_shingle, percent), "doc_id long, shingles binary, sketch array<long>, parity array<long>"), "minhash-sets")
     x, y = (sets.select(F.col("doc_id").alias(end), F.col("shingles").alias(name)) for end, name in (("a", "x"), ("b", "y")))
 
     def possible(a: str, b: str):
@@ -244,19 +257,23 @@ def near_duplicates(
     placed = seats.where("n > 2").join(label, "rep", "left").select("key", "band", "rep", "centre", "n_shingles", F.coalesce("component", "rep").alias("component"))
     mixed = placed.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
     open_seats = placed.where("rep <> centre").join(mixed.select("key", "main"), "key")
-    sketch = sets.select(F.col("doc_id").alias("rep"), "sketch")
+    sketch = sets.select(F.col("doc_id").alias("rep"), "sketch", "parity")
     whole = distinct.select("rep", "bands")
     open_seats = open_seats.join(whole, "rep").where(F.array_contains("bands", F.col("key"))).withColumn("before", F.slice("bands", F.lit(1), F.col("band")))
-    open_seats = open_seats.join(sketch, "rep").select("key", "before", "main", "rep", "n_shingles", "component", *[F.get("sketch", F.lit(k)).alias(f"s{k}") for k in range(2 * _PLANES)])
+    planes = [F.get("sketch", F.lit(k)).alias(f"s{k}") for k in range(2 * _PLANES)] + [F.get("parity", F.lit(k)).alias(f"t{k}") for k in range(_PLANES)]
+    open_seats = open_seats.join(sketch, "rep").select("key", "before", "main", "rep", "n_shingles", "component", *planes)
     p, q = open_seats.where("component <> main").alias("p"), open_seats.alias("q")
     agreed = sum((F.bit_count(F.bitwise_not(F.col(f"p.s{k}").bitwiseXOR(F.col(f"q.s{k}")).bitwiseOR(F.col(f"p.s{k + _PLANES}").bitwiseXOR(F.col(f"q.s{k + _PLANES}"))))) for k in range(_PLANES)), F.lit(0))
+    differ = sum((F.bit_count(F.col(f"p.t{k}").bitwiseXOR(F.col(f"q.t{k}"))) for k in range(_PLANES)), F.lit(0))
+    # |a & b| and |a | b| are half of |a| + |b| less and plus the difference
+    near = (100 + percent) * differ <= (100 - percent) * (F.col("p.n_shingles") + F.col("q.n_shingles"))
     rest = p.join(
         q,
         (F.col("p.key") == F.col("q.key"))
         & (F.col("p.component") != F.col("q.component"))
         & ((F.col("q.component") == F.col("q.main")) | (F.col("p.rep") < F.col("q.rep")))
         & possible("p.n_shingles", "q.n_shingles")
-        & (agreed >= least_agreement(percent))
+        & F.when(F.col("p.t0").isNotNull() & F.col("q.t0").isNotNull(), near).otherwise(agreed >= least_agreement(percent))
         & ~F.arrays_overlap("p.before", "q.before"),
     ).select(F.least("p.rep", "q.rep").alias("a"), F.greatest("p.rep", "q.rep").alias("b"))
     rest = materialize(spark, rest.distinct(), "minhash-rest")

@@ -101,6 +101,19 @@ def test_minhash_second_round_finds_what_the_star_missed(spark):
     assert sorted(tuple(r)[:4] for r in found.collect()) == linked(rows, 5, 80)
 
 
+def test_minhash_second_round_takes_short_texts(spark):
+    """Windows of 12 words that move by one: 9 shingles each, linked with their neighbours at exactly 80 percent.
+
+    In group 123 a link shares buckets with unlinked centres only, and sketches of 1024 bins agree on fewer than 813.
+    """
+    rows = []
+    for group in (3, 63, 123):
+        words = [f"g{group}w{k}" for k in range(47)]
+        rows += [(len(rows) + k, " ".join(words[k : k + 12])) for k in range(36)]
+    found = minhash.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), words_per_shingle=4)
+    assert sorted(tuple(r)[:4] for r in found.collect()) == linked(rows, 4, 80)
+
+
 def test_minhash_odd_rows(spark, odd, empty):
     found = sorted((tuple(r)[:4] for r in minhash.near_duplicates(spark, odd).collect()), key=str)
     assert found.count((4, 1, 4, True)) == 2 and (1, 0, 1, True) in found and (None, 2, None, True) in found and len(found) == len(ODD)
