@@ -376,6 +376,23 @@ def test_url_aliases_and_precedence(spark):
     assert again == got and url_filter.judge(spark, df.limit(0)).count() == 0
 
 
+def test_url_links_may_be_relative(spark):
+    tag, meta = '<link data-url="no" rel="canonical" href="%s"/>', '<meta http-equiv="refresh" content="0; url=%s">'
+    rows = [
+        (1, "https://a.com/x/1?q=2", tag % "/en/8/x"), (2, "https://a.com/en2/3", meta % "../en/9"), (3, "https://b.other/p", tag % "//m.a.com/en/5"), (4, "https://a.com/z/4", meta % "page2"),
+        (5, "http://a.com/z/page2", tag % "https://c.com/en/1"), (6, "https://b.other/y", '<base href="//k.com/en/">' + tag % "./5"), (7, "https://b.other/#f", tag % "mailto:x@a.com/en/1"),
+        (8, "https://b.other/w?a=1", tag % "#t"), (9, "https://b.other/w", None), (10, "https://d.other", meta % "q/../../r/."), (11, "https://d.other/r", tag % "//f.net/de/1"), (12, "nothing", tag % "/en/1"),
+    ]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    page = {url: k for k, url, _ in rows}
+    assert {page[r["page_url"]]: r["target"] for r in url_filter.links(df).collect()} == {
+        1: "https://a.com/en/8/x", 2: "https://a.com/en/9", 3: "https://m.a.com/en/5", 4: "https://a.com/z/page2", 5: "https://c.com/en/1", 6: "https://k.com/en/5", 8: "https://b.other/w?a=1", 10: "https://d.other/r/",
+        11: "https://f.net/de/1",
+    }
+    got = {r["page_id"] for r in url_filter.judge(spark, df).where("verdict = 'block'").collect()}
+    assert got == {1, 2, 3, 4, 5, 6, 10, 11}
+
+
 # -- 10: lines
 
 
