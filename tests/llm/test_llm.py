@@ -393,6 +393,13 @@ def test_url_links_may_be_relative(spark):
     assert got == {1, 2, 3, 4, 5, 6, 10, 11}
 
 
+def test_url_targets_keep_their_final_slash(spark):
+    link = '<link rel="canonical" href="%s">'
+    rows = [(1, "https://b.other/1", link % "https://a.com/en/"), (2, "https://b.other/2", link % "https://a.com/en/?p=1"), (3, "https://b.other/3", link % "https://c.com/en"), (4, "https://d.com/en", link % "https://d.com/en/")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r["page_id"]: r["verdict"] for r in url_filter.judge(spark, df).collect()} == {1: "block", 2: "block", 3: "allow", 4: "block"}
+
+
 # -- 10: lines
 
 
