@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .textkit import Rolling, chunks, ragged
+from .textkit import chunks, distinct_spans, ragged
 
 #: Largest rank file that is shipped to executors.
 MAX_RANK_BYTES = 64 << 20
@@ -200,7 +200,7 @@ class Tokenizer:
         if not len(starts):
             return np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
         ends = np.append(starts[1:], len(data))
-        _, first, which = np.unique(Rolling(data).spans(starts, ends), return_index=True, return_inverse=True)
+        first, which = distinct_spans(data, starts, ends)
         raw = data.tobytes()
         pieces = [self.merged(raw[a:b]) for a, b in zip(starts[first].tolist(), ends[first].tolist())]
         size = np.fromiter(map(len, pieces), np.int64, len(pieces))

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .staging import discard, materialize
-from .textkit import LOWER, Rolling, chunks, mix, set_of, words
+from .textkit import LOWER, chunks, mix, set_of, span_hashes, words
 
 BINS, ROWS = 128, 4
 #: Attempts at densifying before an empty bin takes the next filled one.
@@ -58,7 +58,7 @@ def shingle_sets(column: pa.Array, n: int) -> Iterator[np.ndarray]:
     for _, _, data, offsets in chunks(column):
         low = LOWER[data]
         starts, ends, bounds = words(low, offsets, _WORD)
-        each = mix(Rolling(low).spans(starts, ends))
+        each = span_hashes(low, starts, ends)
         full = np.zeros(max(0, len(each) - n + 1), np.uint64)
         for k in range(n if len(full) else 0):
             full += each[k : k + len(full)] * weight[k]

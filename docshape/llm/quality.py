@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .textkit import LOWER, Rolling, chunks, mix, set_of, words
+from .textkit import LOWER, chunks, mix, set_of, span_hashes, words
 
 #: Rated documents that fitting reads at most, those with the smallest hashes.
 SAMPLE = 6_000
@@ -50,10 +50,9 @@ def _slots(keys: np.ndarray, kind: int) -> np.ndarray:
 def features(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """``(slots, values)`` for each text of a buffer, slots ascending."""
     low = LOWER[data]
-    rolling = Rolling(low)
     word, word_end, word_bounds = words(low, offsets, _LETTERS)
     mark, mark_end, mark_bounds = words(data, offsets, _MARKS)
-    word_keys, mark_keys = rolling.spans(word, word_end), rolling.spans(mark, mark_end)
+    word_keys, mark_keys = span_hashes(low, word, word_end), span_hashes(data, mark, mark_end)
     capitals = np.concatenate(([0], np.cumsum(_UPPER[data])))
     plain = np.concatenate(([0], np.cumsum(data < 128)))
     raised = capitals[word_end] - capitals[word]
@@ -61,7 +60,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray
     again = np.zeros(len(word_keys), bool)
     again[1:] = word_keys[1:] == word_keys[:-1]
     size = word_end - word
-    both = np.concatenate([rolling.spans(word, word + np.minimum(size, n)) ^ mix(np.full(1, n, np.uint64)) for n in PREFIXES])
+    both = np.concatenate([span_hashes(low, word, word + np.minimum(size, n)) ^ mix(np.full(1, n, np.uint64)) for n in PREFIXES])
     for k in range(len(offsets) - 1):
         a, b, c, d = word_bounds[k], word_bounds[k + 1], mark_bounds[k], mark_bounds[k + 1]
         total = max(1, b - a)

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .staging import discard, materialize
-from .textkit import Rolling, chunks, mix, ragged, utf8
+from .textkit import Rolling, chunks, mix, ragged, span_hashes, utf8
 
 LENGTH, GRAM = 50, 16
 #: Corpus bytes for each bucket of codes; bytes of slices for each bucket of suffixes.
@@ -246,7 +246,7 @@ def _cut(buckets: int, length: int, gram: int):
                 new = np.concatenate(([True], last[:-1] | (chosen[1:] != chosen[:-1] + 1) | (row[1:] != row[:-1])))[: len(chosen)]
                 first = np.flatnonzero(new)
                 begin, end = starts[chosen[first]], ends[chosen[(np.append(first[1:], len(chosen)) - 1)[: len(first)]]]
-                key, row, lead = mix(rolling.spans(begin, end)), row[first], hashes[chosen[first]]
+                key, row, lead = span_hashes(data, begin, end), row[first], hashes[chosen[first]]
                 raw = data.tobytes()
                 for k in range(0, len(first), 20_000):
                     part = slice(k, k + 20_000)
@@ -275,7 +275,7 @@ def _recut(length: int, gram: int):
                 rolling = Rolling(data)
                 hashes, _, starts, ends = slices(data, at, length, gram, rolling)
                 row, raw = np.searchsorted(at, starts, "right") - 1, data.tobytes()
-                key = mix(rolling.spans(starts, ends))
+                key = span_hashes(data, starts, ends)
                 for k in range(0, len(starts), 50_000):
                     part = slice(k, k + 50_000)
                     index = pa.array(low + row[part])

@@ -6,6 +6,7 @@ chunk (or on the longest single text), not on how many rows a batch has.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -51,8 +52,78 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+#: Bytes up to which a span is hashed limb by limb; a longer one gets a keyless BLAKE2b.
+_LIMBWISE = 256
+
+
+def _limbs(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from every place on, as one integer; zeros follow the end."""
+    padded = np.zeros(len(data) + 16, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray(len(data) + 8, "<u8", padded, strides=(1,))
+
+
+def _masked(limbs: np.ndarray, starts: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """The next limb of spans with ``left`` bytes to go, zeros beyond their ends."""
+    beyond = (8 * (8 - np.minimum(left, 8))).astype(np.uint64)
+    return limbs[starts] << beyond >> beyond
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of spans of any length; no two spans of up to eight bytes and one length collide.
+
+    Unlike polynomials modulo 2^64 these have no pairs of texts that collide for every base.
+    """
+    starts, size = np.asarray(starts, np.int64), np.asarray(ends, np.int64) - starts
+    limbs = _limbs(data)
+    out = mix(size.astype(np.uint64) + np.uint64(_BASE))
+    going = np.flatnonzero((size > 0) & (size <= _LIMBWISE))
+    for at in range(0, _LIMBWISE, 8):
+        if not len(going):
+            break
+        out[going] = mix(out[going] ^ _masked(limbs, starts[going] + at, size[going] - at))
+        going = going[size[going] > at + 8]
+    long = np.flatnonzero(size > _LIMBWISE)
+    for k, a, b in zip(long.tolist(), starts[long].tolist(), (starts[long] + size[long]).tolist()):
+        out[k] = int.from_bytes(hashlib.blake2b(data[a:b], digest_size=8).digest(), "little")
+    return out
+
+
+def distinct_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``(first, which)``: one span for each distinct content, and for each span the place of its content
+    in ``first``.  Hashes only sort: contents are compared byte by byte."""
+    _, first, which = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
+    twin = first[which]
+    size, limbs = ends - starts, _limbs(data)
+    wrong = size != size[twin]
+    going = np.flatnonzero((twin != np.arange(len(twin))) & ~wrong & (size <= _LIMBWISE))
+    for at in range(0, _LIMBWISE, 8):
+        if not len(going):
+            break
+        left = size[going] - at
+        same = _masked(limbs, starts[going] + at, left) == _masked(limbs, starts[twin[going]] + at, left)
+        wrong[going[~same]] = True
+        going = going[same & (left > 8)]
+    for k in np.flatnonzero((twin != np.arange(len(twin))) & ~wrong & (size > _LIMBWISE)).tolist():
+        wrong[k] = not np.array_equal(data[starts[k] : ends[k]], data[starts[twin[k]] : ends[twin[k]]])
+    if wrong.any():  # hashes that met by chance
+        held: dict[bytes, int] = {}
+        more = []
+        for k in np.flatnonzero(wrong).tolist():
+            own = data[starts[k] : ends[k]].tobytes()
+            if own not in held:
+                held[own] = len(first) + len(more)
+                more.append(k)
+            which[k] = held[own]
+        first = np.concatenate((first, np.array(more, first.dtype)))
+    return first, which
+
+
 class Rolling:
-    """Polynomial hashes modulo 2^64 of any spans of ``data``; equal bytes, equal hash."""
+    """Polynomial hashes modulo 2^64 of any spans of ``data``; equal bytes, equal hash.
+
+    For short spans only: from 1,024 bytes on there are texts that collide for every base.
+    """
 
     def __init__(self, data: np.ndarray):
         n = len(data)
