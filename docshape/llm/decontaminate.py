@@ -87,26 +87,32 @@ def phrase_matches(spark: SparkSession, index: DataFrame, items: DataFrame, wind
     return runs.join(sizes, "item").where(F.col("n") >= width).select("doc_id", "mark", "item", (F.col("shift") + F.col("first")).alias("low"), (F.col("shift") + F.col("first") + F.col("n")).alias("high"))
 
 
-def proximity_matches(index: DataFrame, items: DataFrame, slop: int, terms: int = 3) -> DataFrame:
+def proximity_matches(spark: SparkSession, index: DataFrame, items: DataFrame, slop: int = WINDOW, terms: int = 3) -> DataFrame:
     """``(doc_id, mark, item, low, high)``: places where an item's ``terms`` rarest different terms
-    stand within ``slop`` words of the rarest one, in any order."""
-    spread = items.select("item", "tid").distinct().join(_spread(index), "tid")
-    rank = F.row_number().over(Window.partitionBy("item").orderBy("n", "tid"))
+    stand within ``slop`` words of the rarest one, in any order.
+
+    ``items`` has (item, tid, term, j, size).  Rarity is by occurrences in the corpus, ties by the term; an item
+    with one of these terms nowhere in the corpus has no match.  Each document's postings of these few
+    terms are sorted by position once; no pairs of postings are made.
+    """
+    spread = items.select("item", "tid", "term").distinct().join(_spread(index), "tid", "left")
+    rank = F.row_number().over(Window.partitionBy("item").orderBy(F.coalesce("n", F.lit(0)), "term"))
     chosen = spread.withColumn("rank", rank).where(F.col("rank") <= terms)
     need = chosen.groupBy("item").agg(F.count("*").alias("need"))
-    seat = index.join(chosen.select("item", "tid", "rank"), "tid")
-    a, b = seat.where("rank = 1").alias("a"), seat.alias("b")
-    same = (F.col("a.item") == F.col("b.item")) & (F.col("a.mark") == F.col("b.mark")) & F.col("a.doc_id").eqNullSafe(F.col("b.doc_id"))
-    pair = a.join(b, same & (F.abs(F.col("a.pos") - F.col("b.pos")) <= slop))
-    place = pair.groupBy("a.doc_id", "a.mark", "a.item", F.col("a.pos").alias("at")).agg(F.countDistinct("b.rank").alias("n"), F.min("b.pos").alias("low"), (F.max("b.pos") + 1).alias("high"))
-    return place.join(need, "item").where("n = need").select("doc_id", "mark", "item", "low", "high")
+    chosen = materialize(spark, chosen.join(need, "item").select("item", "tid", "rank", "need"), "rarest-terms")
+    seat = index.join(chosen, "tid")
+    around = Window.partitionBy("doc_id", "mark", "item").orderBy("pos").rangeBetween(-slop, slop)
+    near = [F.max(F.when(F.col("rank") == k, 1).otherwise(0)).over(around) for k in range(1, terms + 1)]
+    place = seat.select("doc_id", "mark", "item", "rank", "need", sum(near, F.lit(0)).alias("n"), F.min("pos").over(around).alias("low"), (F.max("pos").over(around) + 1).alias("high"))
+    return place.where("rank = 1 and n = need").select("doc_id", "mark", "item", "low", "high")
 
 
 def contamination(spark: SparkSession, docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``(doc_id, mark, n_words, n_hit, item_ids)``, one row for each row of ``docs``.
+    """``(doc_id, mark, n_words, n_hit, item_ids, longest, near_ids)``, one row for each row of ``docs``.
 
     ``n_hit`` counts a document's words inside any occurrence of a window; ``item_ids`` are the ids of
-    the items with occurring windows, distinct and sorted as strings.
+    the items with occurring windows, distinct and sorted as strings.  ``longest`` is the length in words
+    of the longest phrase of an item; ``near_ids`` are the ids of items with proximity matches.
 
     Defined cases: a null or wordless text has no words; an item without words has no window; an
     item with a null id hits words but isn't listed; repeated items count once.  Repeated rows of
@@ -119,10 +125,30 @@ def contamination(spark: SparkSession, docs: DataFrame, items: DataFrame, window
     ranges = materialize(spark, phrase_matches(spark, index, item.select("item", "tid", "j", "size"), window), "phrase-matches")
 
     key = ["doc_id", "mark"]
+    names = item.select("item", "item_id").distinct()
+    near = proximity_matches(spark, index, item).select(*key, "item").distinct().join(names, "item").groupBy(*key).agg(F.array_sort(F.collect_set("item_id")).alias("near_ids"))
     hit = ranges.select(*key, F.explode(F.sequence("low", F.col("high") - 1)).alias("pos")).groupBy(*key).agg(F.countDistinct("pos").alias("n_hit"))
-    names = ranges.select(*key, "item").distinct().join(item.select("item", "item_id").distinct(), "item").groupBy(*key).agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"))
-    both = hit.alias("h").join(names.alias("i"), (F.col("h.mark") == F.col("i.mark")) & F.col("h.doc_id").eqNullSafe(F.col("i.doc_id")))
-    both = both.select(F.col("h.doc_id").alias("_id"), F.col("h.mark").alias("_mark"), "n_hit", "item_ids")
-    every = index.where("tid is null").select("doc_id", "mark", F.col("pos").cast("long").alias("n_words"))
-    result = every.join(both, (F.col("mark") == F.col("_mark")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left")
-    return result.select("doc_id", "mark", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"))
+    found = ranges.join(names, "item").groupBy(*key).agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"), F.max(F.col("high") - F.col("low")).cast("int").alias("longest"))
+    result = index.where("tid is null").select(*key, F.col("pos").cast("long").alias("n_words")).alias("d")
+    for k, part in enumerate((hit, found, near)):
+        own = f"p{k}"
+        result = result.join(part.withColumnsRenamed({"doc_id": f"{own}_id", "mark": f"{own}_mark"}), (F.col("mark") == F.col(f"{own}_mark")) & F.col("doc_id").eqNullSafe(F.col(f"{own}_id")), "left")
+    none = F.array().cast("array<string>")
+    return result.select(
+        *key, "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("item_ids", none).alias("item_ids"),
+        F.coalesce("longest", F.lit(0)).alias("longest"), F.coalesce("near_ids", none).alias("near_ids"),
+    )
+
+
+def leaked(judged: DataFrame, window: int = WINDOW) -> DataFrame:
+    """Keys ``(doc_id, mark)`` of documents that hold a whole window of ``window`` words, or of whose words a
+    twentieth or more is inside windows (of shorter items)."""
+    return judged.where((F.col("longest") >= window) | (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).select("doc_id", "mark").distinct()
+
+
+def without_leaks(spark: SparkSession, docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The rows of ``docs``, all their columns, that are not ``leaked``."""
+    gone = materialize(spark, leaked(contamination(spark, docs, items, window), window), "leaks")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))).alias("mark")).alias("d")
+    same = F.col("d.row.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col("d.mark") == F.col("g.mark"))
+    return rows.join(gone.alias("g"), same, "left_anti").select("d.row.*")

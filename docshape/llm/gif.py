@@ -193,9 +193,10 @@ class Frame:
     canvas: np.ndarray | None = field(default=None, repr=False)  # rows x columns x RGBA
 
     def histogram(self, bins: int = BINS) -> np.ndarray:
-        """Counts by level of red, green and blue of the opaque pixels of the canvas, 3 x ``bins``."""
-        seen = self.canvas[self.canvas[..., 3] > 0][:, :3].astype(np.int64) * bins // 256
-        return np.stack([np.bincount(seen[:, c], minlength=bins) for c in range(3)])
+        """Counts by level of red, green and blue of the opaque pixels of the canvas, 3 x ``bins`` (a
+        divisor of 256)."""
+        shown = self.canvas[..., 3] > 0
+        return np.stack([np.bincount(self.canvas[..., c][shown], minlength=256).reshape(bins, -1).sum(axis=1) for c in range(3)])
 
 
 def _read_blocks(raw: bytes, at: int) -> tuple[bytes, int]:
@@ -302,14 +303,17 @@ def store_texts(docs: DataFrame) -> DataFrame:
 
 def _frames(bins: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "frame", "start_ms", "delay_ms", "left", "top", "width", "height", "disposal", "transparent", "samples", "red", "green", "blue"]
+        names = ["doc_id", "frame", "start_ms", "delay_ms", "left", "top", "width", "height", "disposal", "transparent", "samples", "red", "green", "blue", "fault"]
         for batch in batches:
             for key, raw in zip(batch.column("doc_id"), batch.column("media")):
                 rows, now = [], 0
-                for k, f in enumerate(decode(raw.as_py()) if raw.is_valid else []):
-                    h, w = f.samples.shape
-                    rows.append([key.as_py(), k, now, 10 * f.delay, f.left, f.top, w, h, f.disposal, f.transparent, f.samples.tobytes(), *f.histogram(bins).tolist()])
-                    now += 10 * f.delay
+                try:
+                    for k, f in enumerate(decode(raw.as_py()) if raw.is_valid else []):
+                        h, w = f.samples.shape
+                        rows.append([key.as_py(), k, now, 10 * f.delay, f.left, f.top, w, h, f.disposal, f.transparent, f.samples.tobytes(), *f.histogram(bins).tolist(), None])
+                        now += 10 * f.delay
+                except ValueError as e:
+                    rows = [[key.as_py(), *[None] * 13, str(e)]]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), _FRAME_TYPES)], names)
 
@@ -317,31 +321,32 @@ def _frames(bins: int):
 
 
 _COUNTS = pa.list_(pa.int64())
-_FRAME_TYPES = [pa.int64()] + [pa.int32()] * 9 + [pa.binary()] + [_COUNTS] * 3
+_FRAME_TYPES = [pa.int64()] + [pa.int32()] * 9 + [pa.binary()] + [_COUNTS] * 3 + [pa.string()]
 
 
 def frames(media: DataFrame, bins: int = BINS) -> DataFrame:
     """Timed frames of a ``(doc_id, media)`` table: place, time, rules, stored samples and the
-    canvas's colour histogram by channel.  A null media gives no row."""
+    canvas's colour histogram by channel.  A null media gives no row; what can't be decoded gives
+    one row with nothing but doc_id and fault."""
     return media.select("doc_id", "media").mapInArrow(
         _frames(bins),
-        "doc_id long, frame int, start_ms int, delay_ms int, left int, top int, width int, height int, disposal int, transparent int, samples binary, red array<long>, green array<long>, blue array<long>",
+        "doc_id long, frame int, start_ms int, delay_ms int, left int, top int, width int, height int, disposal int, transparent int, samples binary, red array<long>, green array<long>, blue array<long>, fault string",
     )
 
 
-def summary(raw: bytes) -> tuple[int, str, int, str]:
+def summary(raw: bytes, bins: int = BINS) -> tuple[int, str, int, str]:
     """What is read back from stored media: payload's length, SHA-256, CRC-32 of its last 64
-    bytes, and the feature: number of frames, playing time and the histogram of its samples'
-    colours (red, by 16 levels) over all frames."""
-    sha, tail, n, counts, time = hashlib.sha256(), b"", 0, np.zeros(BINS, np.int64), 0
-    found = decode(raw, draw=False)
+    bytes, and the feature: number of frames, playing time and, summed over the frames as they
+    are shown, the canvas's histogram of each colour channel."""
+    sha, tail, n, counts, time = hashlib.sha256(), b"", 0, np.zeros((3, bins), np.int64), 0
+    found = decode(raw)
     for f in found:
         part = f.samples.tobytes()
         sha.update(part)
         tail, n, time = (tail + part)[-64:], n + len(part), time + 10 * f.delay
-        red = f.palette[:, 0].astype(np.int64) * BINS // 256
-        counts += np.bincount(red, np.bincount(f.samples.reshape(-1), minlength=len(red)), BINS).astype(np.int64)
-    return n, sha.hexdigest(), zlib.crc32(tail), f"frames={len(found)};ms={time};red={','.join(map(str, counts.tolist()))}"
+        counts += f.histogram(bins)
+    channels = ";".join(f"{name}={','.join(map(str, row))}" for name, row in zip(("red", "green", "blue"), counts.tolist()))
+    return n, sha.hexdigest(), zlib.crc32(tail), f"frames={len(found)};ms={time};{channels}"
 
 
 def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

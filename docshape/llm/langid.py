@@ -8,7 +8,8 @@ probabilities; the answer is the language with the largest, its score the poster
 equal priors.
 
 Pieces never cross words, so each distinct word of a chunk is scored once, all words of the
-chunk together, one byte position at a time.
+chunk together, one byte position at a time.  Words and pieces may have any length: sums are kept in
+logarithms, and a word of a script without spaces is one lattice like any other.
 """
 
 from __future__ import annotations
@@ -21,16 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .textkit import CHUNK, Rolling, chunks, mix, words
+from .textkit import CHUNK, Rolling, chunks, distinct_spans, mix, ragged, words
 
 #: About so many documents of each language are read for fitting, whatever the corpus has.
 SAMPLE_PER_LANGUAGE = 600
-#: Distinct words of each language that fitting uses, the most frequent ones.
-WORDS_PER_LANGUAGE = 40_000
 ROUNDS, FLOOR = 5, 1e-7
-LONGEST_PIECE = 10
-#: Bytes of a word that are segmented together; a longer word is a row of such parts.
-PART = 32
+#: Prefix lengths by which long pieces are looked for only where one can begin.
+_HINTS = (8, 16)
 
 # a-z and all bytes of other scripts make words; everything else separates them.
 _WORD = np.zeros(256, bool)
@@ -38,114 +36,148 @@ _WORD[97:123] = True
 _WORD[128:] = True
 
 
-def _word_parts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Bytes of the lower-cased texts, each word behind one space; starts and ends of the words'
-    parts, the space included; and the number of the first part of each text, and of all."""
+def _words_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of the lower-cased texts, each word behind one space; starts and ends of the words,
+    the space included; and the number of the first word of each text, and of all."""
     raw = [b" " + t.lower().encode("utf-8", "replace") for t in texts]
     offsets = np.concatenate(([0], np.cumsum([len(r) for r in raw]))).astype(np.int64)
     data = np.frombuffer(b"".join(raw), np.uint8)
     inside = _WORD[data]
     data = np.where(inside, data, np.uint8(32))
     starts, ends, bounds = words(data, offsets, _WORD)
-    starts = starts - 1
-    size = ends - starts
-    if len(size) and size.max() > PART:
-        pieces = -(-size // PART)
-        within = np.arange(int(pieces.sum())) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-        first = np.concatenate(([0], np.cumsum(pieces)))
-        last = np.repeat(ends, pieces)
-        starts = np.repeat(starts, pieces) + PART * within
-        ends, bounds = np.minimum(starts + PART, last), first[bounds]
-    return data, starts, ends, bounds
+    return data, starts - 1, ends, bounds
+
+
+class _Table:
+    """Finds strings of one length by hash, without collisions among them."""
+
+    def __init__(self, hashes: np.ndarray, ids: np.ndarray, none: int):
+        bits = max(10, int(len(hashes)).bit_length() + 3)
+        for attempt in range(1, 10_000):
+            self.factor = mix(np.array([attempt], np.uint64))[0] | np.uint64(1)
+            slot = ((hashes * self.factor) >> np.uint64(64 - bits)).astype(np.int64)
+            if len(np.unique(slot)) == len(hashes):
+                break
+            bits += attempt % 8 == 0
+        self.shift = np.uint64(64 - bits)
+        self.keys, self.ids, self.none = np.zeros(1 << bits, np.uint64), np.full(1 << bits, none, np.int64), none
+        self.keys[slot], self.ids[slot] = hashes, ids
+
+    def __call__(self, hashes: np.ndarray) -> np.ndarray:
+        slot = ((hashes * self.factor) >> self.shift).astype(np.int64)
+        return np.where(self.keys[slot] == hashes, self.ids[slot], self.none)
 
 
 class _Lookup:
-    """Finds pieces by hash: one table per length, without collisions among the pieces."""
+    """Finds all pieces in words: a table for each length, and tables of the long ones' prefixes."""
 
     def __init__(self, pieces: list[bytes]):
         data = np.frombuffer(b"".join(pieces), np.uint8)
         size = np.array([len(p) for p in pieces], np.int64)
-        ends = np.cumsum(size)
-        hashes = Rolling(data).spans(ends - size, ends)
-        self.tables = {}
+        starts = np.cumsum(size) - size
+        rolling = Rolling(data)
+        self.n = len(pieces)
+        self.tables, self.hints = {}, {}
         for length in sorted(set(size.tolist())):
             own = np.flatnonzero(size == length)
-            bits = max(10, int(len(own)).bit_length() + 3)
-            for attempt in range(1, 10_000):
-                factor = mix(np.array([attempt], np.uint64))[0] | np.uint64(1)
-                slot = (hashes[own] * factor) >> np.uint64(64 - bits)
-                if len(np.unique(slot)) == len(own):
-                    break
-                bits += attempt % 8 == 0
-            keys, ids = np.zeros(1 << bits, np.uint64), np.full(1 << bits, len(pieces), np.int64)
-            keys[slot.astype(np.int64)], ids[slot.astype(np.int64)] = hashes[own], own
-            self.tables[length] = keys, ids, factor, np.uint64(64 - bits), len(pieces)
-
-    def __call__(self, hashes: np.ndarray, length: int) -> np.ndarray:
-        """Numbers of the pieces with these hashes; the number of all pieces where there is none."""
-        keys, ids, factor, shift, none = self.tables[length]
-        slot = ((hashes * factor) >> shift).astype(np.int64)
-        return np.where(keys[slot] == hashes, ids[slot], none)
+            self.tables[length] = _Table(rolling.spans(starts[own], starts[own] + length), own, self.n)
+        for length in _HINTS:
+            own = starts[size > length]
+            if len(own):
+                hashes = np.unique(rolling.spans(own, own + length))
+                self.hints[length] = _Table(hashes, np.zeros(len(hashes), np.int64), 1)
+
+    def edges(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
+        """``(word, begin, end, piece)`` of every piece in every word, by end and then by length."""
+        size = ends - starts
+        rolling, place = Rolling(data), ragged(starts, size)
+        word = np.repeat(np.arange(len(size)), size)
+        left = ends[word] - place
+        found = []
+        for length, table in self.tables.items():
+            for hint in [h for h in self.hints if h < length and h not in found]:
+                live = np.flatnonzero(left > hint)
+                live = live[self.hints[hint](rolling.spans(place[live], place[live] + hint)) == 0]
+                place, word, left = place[live], word[live], left[live]
+                found.append(hint)
+            live = np.flatnonzero(left >= length)
+            piece = table(rolling.spans(place[live], place[live] + length))
+            hit = np.flatnonzero(piece < self.n)
+            begin = (place[live[hit]] - starts[word[live[hit]]]).astype(np.int64)
+            found.append((word[live[hit]], begin, begin + length, piece[hit]))
+        every = [np.concatenate(c) for c in zip(*(f for f in found if isinstance(f, tuple)))]
+        order = np.lexsort((every[1], every[2]))
+        return tuple(c[order] for c in every)
+
+
+class _Lattice:
+    """All segmentations of some words, as edges between places; sums are taken in logarithms."""
+
+    def __init__(self, lookup: _Lookup, data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
+        word, begin, end, self.piece = lookup.edges(data, starts, ends)
+        size = ends - starts
+        self.first = np.cumsum(size + 1) - size - 1
+        self.last = self.first + size
+        self.source, self.target = self.first[word] + begin, self.first[word] + end
+        # edges of one end and length belong to different words: they are summed together
+        new = np.flatnonzero(np.concatenate(([True], (end[1:] != end[:-1]) | (begin[1:] != begin[:-1])))[: len(end)])
+        self.steps = list(zip(new.tolist(), np.append(new[1:], len(end)).tolist()))
+
+    def forward(self, logs: np.ndarray) -> np.ndarray:
+        """Log sums over the segmentations of every prefix; ``logs`` has a row for each piece."""
+        out = np.full((int(self.last[-1]) + 1, *logs.shape[1:]), -np.inf)
+        out[self.first] = 0
+        for a, b in self.steps:
+            to = self.target[a:b]
+            out[to] = np.logaddexp(out[to], out[self.source[a:b]] + logs[self.piece[a:b]])
+        return out
+
+    def backward(self, logs: np.ndarray) -> np.ndarray:
+        out = np.full((int(self.last[-1]) + 1, *logs.shape[1:]), -np.inf)
+        out[self.last] = 0
+        for a, b in reversed(self.steps):
+            at = self.source[a:b]
+            out[at] = np.logaddexp(out[at], out[self.target[a:b]] + logs[self.piece[a:b]])
+        return out
 
 
 @dataclass
 class Model:
-    """Pieces and, for each language, their probabilities (with a last row 0 for no piece)."""
+    """Pieces and, for each language, their probabilities."""
 
     languages: list[str]
     pieces: list[bytes]
-    probability: np.ndarray  # (pieces + 1) x languages
+    probability: np.ndarray  # pieces x languages
     _lookup: _Lookup | None = field(default=None, repr=False)
 
     def __getstate__(self):
         return {**self.__dict__, "_lookup": None}
 
-    @property
-    def lookup(self) -> _Lookup:
-        if self._lookup is None:
-            self._lookup = _Lookup(self.pieces)
-        return self._lookup
-
-    def forward(self, rolling: Rolling, starts: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """Sums over the segmentations of every prefix; ``size`` must not rise.
-
-        The result has a row for each prefix length from 0, a column for each word, and the
-        languages.
-        """
-        longest = int(size[0]) if len(size) else 0
-        out = np.zeros((longest + 1, len(size), len(self.languages)))
-        out[0] = 1
-        for end in range(1, longest + 1):
-            n = int(np.searchsorted(-size, -end, "right"))
-            for length in range(1, min(end, LONGEST_PIECE) + 1):
-                if length in self.lookup.tables:
-                    at = starts[:n] + (end - length)
-                    piece = self.lookup(rolling.spans(at, at + length), length)
-                    hit = np.flatnonzero(piece < len(self.pieces))
-                    out[end][hit] += out[end - length][hit] * self.probability[piece[hit]]
-        return out
-
     def word_scores(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Log probabilities of the words, by language."""
-        order = np.argsort(starts - ends, kind="stable")
-        size = (ends - starts)[order]
-        table = self.forward(Rolling(data), starts[order], size)
-        out = np.empty((len(size), len(self.languages)))
-        out[order] = np.log(table[size, np.arange(len(size))])
-        return out
+        if self._lookup is None:
+            self._lookup = _Lookup(self.pieces)
+        lattice = _Lattice(self._lookup, data, starts, ends)
+        with np.errstate(divide="ignore"):
+            return lattice.forward(np.log(self.probability))[lattice.last]
 
     def scores(self, texts: list[str]) -> np.ndarray:
         """Log probabilities of whole texts, by language."""
-        data, starts, ends, bounds = _word_parts(texts)
+        data, starts, ends, bounds = _words_of(texts)
         out = np.zeros((len(texts), len(self.languages)))
         if len(starts):
-            _, first, which = np.unique(Rolling(data).spans(starts, ends), return_index=True, return_inverse=True)
+            first, which = distinct_spans(data, starts, ends)
             each = self.word_scores(data, starts[first], ends[first])[which]
             full = np.flatnonzero(bounds[1:] > bounds[:-1])
             out[full] = np.add.reduceat(each, bounds[:-1][full])
         return out
 
 
+def _within_words(piece: bytes) -> bool:
+    """Whether a word, behind its space, can hold a piece."""
+    return bool(piece) and bool(_WORD[list(piece[1:])].all()) and (piece[0] == 32 or bool(_WORD[piece[0]]))
+
+
 def fit(counts: dict[str, dict[bytes, int]], vocabulary: list[bytes], rounds: int = ROUNDS) -> Model | None:
     """A model of the languages' word counts; words come with their leading space.
 
@@ -155,41 +187,34 @@ def fit(counts: dict[str, dict[bytes, int]], vocabulary: list[bytes], rounds: in
     languages = sorted(k for k, v in counts.items() if v)
     if not languages:
         return None
-    seen = {w[a:b] for k in languages for w in counts[k] for a in range(len(w)) for b in range(a + 1, min(len(w), a + LONGEST_PIECE) + 1)}
-    pieces = sorted({bytes([k]) for k in range(256)} | {p for p in vocabulary if p in seen and len(p) <= LONGEST_PIECE})
+    own = {k: sorted(counts[k].items()) for k in languages}
+    spans = {}
+    for k in languages:
+        size = np.array([len(w) for w, _ in own[k]], np.int64)
+        spans[k] = np.frombuffer(b"".join(w for w, _ in own[k]), np.uint8), np.cumsum(size) - size, np.cumsum(size)
+    possible = sorted({bytes([k]) for k in range(256)} | {p for p in vocabulary if _within_words(p)})
+    lookup = _Lookup(possible)
+    used = np.array([len(p) == 1 for p in possible])
+    for k in languages:
+        used[lookup.edges(*spans[k])[3]] = True
+    pieces = [p for p, u in zip(possible, used.tolist()) if u]
     single = np.array([len(p) == 1 for p in pieces])
-    table = np.zeros((len(pieces) + 1, len(languages)))
+    table = np.zeros((len(pieces), len(languages)))
     lookup = _Lookup(pieces)
     for column, language in enumerate(languages):
-        own = sorted(counts[language].items(), key=lambda item: (-len(item[0]), item[0]))
-        data = np.frombuffer(b"".join(w for w, _ in own), np.uint8)
-        size = np.array([len(w) for w, _ in own], np.int64)
-        starts, weight = np.cumsum(size) - size, np.array([n for _, n in own], float)
-        rolling = Rolling(data)
-        edges = []  # words, start, end and piece of every piece in every word
-        for end in range(1, int(size[0]) + 1):
-            n = int(np.searchsorted(-size, -end, "right"))
-            for length in range(1, min(end, LONGEST_PIECE) + 1):
-                if length in lookup.tables:
-                    at = starts[:n] + (end - length)
-                    piece = lookup(rolling.spans(at, at + length), length)
-                    hit = np.flatnonzero(piece < len(pieces))
-                    edges.append((end - length, end, hit, piece[hit]))
+        lattice = _Lattice(lookup, *spans[language])
+        log_weight = np.log(np.array([n for _, n in own[language]], float))
+        owner = np.searchsorted(lattice.last, lattice.target)
         chance = np.where(single, 1.0, 0.5) / len(pieces)
         for _ in range(rounds):
-            ahead, back = np.zeros((int(size[0]) + 1, len(size))), np.zeros((int(size[0]) + 1, len(size)))
-            ahead[0], back[size, np.arange(len(size))] = 1, 1
-            for a, b, who, piece in edges:
-                ahead[b][who] += ahead[a][who] * chance[piece]
-            expected = np.zeros(len(pieces))
-            for a, b, who, piece in reversed(edges):
-                back[a][who] += back[b][who] * chance[piece]
-            share = weight / ahead[size, np.arange(len(size))]
-            for a, b, who, piece in edges:
-                expected += np.bincount(piece, ahead[a][who] * chance[piece] * back[b][who] * share[who], len(pieces))
+            with np.errstate(divide="ignore"):
+                logs = np.log(chance)
+            ahead, back = lattice.forward(logs), lattice.backward(logs)
+            share = ahead[lattice.source] + logs[lattice.piece] + back[lattice.target] + (log_weight - ahead[lattice.last])[owner]
+            expected = np.bincount(lattice.piece, np.exp(share), len(pieces))
             chance = expected / expected.sum()
             chance[single] = np.maximum(chance[single], FLOOR)
-        table[:-1, column] = chance
+        table[:, column] = chance
     return Model(languages, pieces, table)
 
 
@@ -197,7 +222,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found: dict[tuple[str, bytes], int] = {}
         for language, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
-            data, starts, ends, _ = _word_parts([text])
+            data, starts, ends, _ = _words_of([text])
             raw = data.tobytes()
             for a, b in zip(starts.tolist(), ends.tolist()):
                 key = language, raw[a:b]
@@ -219,10 +244,9 @@ def train(spark: SparkSession, docs: DataFrame, vocabulary: list[bytes], *, per_
     place = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / float(1 << 30)
     sample = held.where(place < share[F.col("lang")]).select("lang", "text")
     tally = sample.mapInArrow(_count_words, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    counts: dict[str, dict[bytes, int]] = {}
-    for language in sorted(sizes):
-        top = tally.where(F.col("lang") == language).orderBy(F.desc("n"), "word").limit(WORDS_PER_LANGUAGE)
-        counts[language] = {bytes(r["word"]): r["n"] for r in top.collect()}
+    counts: dict[str, dict[bytes, int]] = {language: {} for language in sizes}
+    for r in tally.collect():  # the words of the sample
+        counts[r["lang"]][bytes(r["word"])] = r["n"]
     return fit(counts, vocabulary)
 
 

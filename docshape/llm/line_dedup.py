@@ -45,6 +45,22 @@ def boilerplate(spark: SparkSession, cut: DataFrame, sites: int = SITES) -> Data
     return sure.select(*key, "first").unionByName(counted.join(exact, key, "left_semi").select(*key, "first"))
 
 
+def _judged(spark: SparkSession, docs: DataFrame, sites: int) -> DataFrame:
+    """``(row, text, n_lines, n_removed)``: a row of ``docs`` as a struct, its text less what goes, and counts."""
+    base = docs.select("doc_id", F.xxhash64("text").alias("mark"), F.col("text").cast("string").alias("text"), "source")
+    cut = materialize(spark, lines(base), "lines")  # hashes and places, no texts
+    bad = materialize(spark, boilerplate(spark, cut, sites), "lines-boilerplate")
+    here = F.struct(F.col("doc_id"), F.col("mark"), F.col("at"))
+    gone = cut.join(bad, ["h1", "h2"]).where(~here.eqNullSafe(F.col("first"))).groupBy("doc_id", "mark").agg(F.collect_set("at").alias("places"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64("text").alias("mark"), F.col("text").cast("string").alias("text")).alias("d")
+    same = F.col("d.row.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col("d.mark") == F.col("g.mark"))
+    parts, places = F.split("d.text", "\n"), F.col("g.places")
+    kept = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(places, i)), "\n")
+    n_lines = F.when(F.col("d.text").isNull(), 0).otherwise(F.size(F.filter(parts, lambda x: F.trim(x) != ""))).cast("long")
+    n_removed = F.when(places.isNull(), F.lit(0)).otherwise(F.size(places)).cast("long")
+    return rows.join(gone.alias("g"), same, "left").select("d.row", F.when(places.isNotNull(), kept).otherwise(F.col("d.text")).alias("text"), n_lines.alias("n_lines"), n_removed.alias("n_removed"))
+
+
 def remove_boilerplate(spark: SparkSession, docs: DataFrame, sites: int = SITES) -> DataFrame:
     """``docs`` with ``text`` less its boilerplate lines, and columns n_lines and n_removed.
 
@@ -57,18 +73,22 @@ def remove_boilerplate(spark: SparkSession, docs: DataFrame, sites: int = SITES)
     the earliest occurrence stays in each of them.  Columns named n_lines or n_removed are replaced,
     any others stay as they are.  An empty table gives an empty result.
     """
-    own = docs.drop("n_lines", "n_removed")
-    base = own.select("doc_id", F.xxhash64("text").alias("mark"), F.col("text").cast("string").alias("text"), "source")
-    cut = materialize(spark, lines(base), "lines")  # hashes and places, no texts
-    bad = materialize(spark, boilerplate(spark, cut, sites), "lines-boilerplate")
-    here = F.struct(F.col("doc_id"), F.col("mark"), F.col("at"))
-    gone = cut.join(bad, ["h1", "h2"]).where(~here.eqNullSafe(F.col("first"))).groupBy(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")).agg(F.collect_set("at").alias("_gone"))
-    joined = own.withColumn("_text_mark", F.xxhash64("text")).join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_mark") == F.col("_mark")), "left")
-    parts = F.split("text", "\n")
-    kept = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("_gone", i)), "\n")
-    text = F.when(F.col("_gone").isNotNull(), kept).otherwise(F.col("text"))
-    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.filter(parts, lambda x: F.trim(x) != ""))).cast("long")
-    removed = F.coalesce(F.size("_gone"), F.lit(0)).cast("long")
-    n_removed = F.when(F.col("_gone").isNull(), F.lit(0).cast("long")).otherwise(removed)
-    # one projection: the counts are those of the text before
-    return joined.select(*[text.alias("text") if c == "text" else F.col(c) for c in own.columns], n_lines.alias("n_lines"), n_removed.alias("n_removed"))
+    found = _judged(spark, docs, sites)
+    own = [c for c in docs.columns if c.lower() not in ("n_lines", "n_removed")]
+    return found.select(*[F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in own], "n_lines", "n_removed")
+
+
+def without_boilerplate(spark: SparkSession, docs: DataFrame, sites: int = SITES) -> DataFrame:
+    """``docs``, all their columns and no others, less boilerplate lines; n_chars follows the text.
+
+    A document whose lines all go (they stay elsewhere) goes; one that had none to begin with stays.
+    """
+    found = _judged(spark, docs, sites).where((F.col("n_removed") == 0) | (F.trim("text") != ""))
+
+    def column(c: str) -> Column:
+        own = F.col("row").getField(c)
+        if c == "text":
+            return F.col("text")
+        return F.when(F.col("n_removed") > 0, F.length("text")).otherwise(own).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else own.alias(c)
+
+    return found.select(*map(column, docs.columns))

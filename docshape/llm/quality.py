@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .staging import discard, materialize
 from .textkit import LOWER, chunks, mix, set_of, span_hashes, words
 
 #: Rated documents that fitting reads at most, those with the smallest hashes.
@@ -29,8 +30,6 @@ SAMPLE = 6_000
 LEAST_TEXTS = 4
 #: Standard errors by which the mean grade of a slot's texts must differ from that of all texts.
 LEAST_SCORE = 4.0
-#: Slots that get a weight at most, those with the largest such score.
-MOST_SLOTS = 20_000
 #: Word beginnings, in bytes.
 PREFIXES = (4, 5)
 SLOTS = 1 << 40
@@ -185,17 +184,21 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(spark: SparkSession, docs: DataFrame, ratings: DataFrame, *, sample: int = SAMPLE) -> Model | None:
     """Fit on at most ``sample`` rated documents, whole texts, chosen by a hash of their ids.
 
-    ``ratings`` has (doc_id, grade).  None if no rated document is there, or all have one grade.
+    ``ratings`` has (doc_id, grade).  Of several texts of one id the first by order counts.  None if no
+    rated document is there, or all have one grade.
     """
     chosen = ratings.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # rows of two integers
     rated = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
+    # one text for each rated id, so that the sample bounds what the driver reads; two passes read it
+    rated = materialize(spark, rated.groupBy("doc_id", "grade").agg(F.min("text").alias("text")), "quality-rated")
     found = rated.mapInArrow(_extract, "doc_id long, grade int, slots array<long>, values array<float>")
     overall = chosen.agg(F.avg("grade").alias("mean"), F.stddev_pop("grade").alias("spread")).first()
     if not overall["spread"]:
+        discard(spark, rated)
         return None
     slot = found.select(F.explode("slots").alias("slot"), "grade").groupBy("slot").agg(F.count("*").alias("n"), F.avg("grade").alias("mean")).where(F.col("n") >= LEAST_TEXTS)
     told = slot.withColumn("score", F.abs(F.col("mean") - overall["mean"]) * F.sqrt("n") / overall["spread"]).where(F.col("score") >= LEAST_SCORE)
-    slots = np.array(sorted(r["slot"] for r in told.orderBy(F.desc("score"), "slot").limit(MOST_SLOTS).collect()), np.int64)
+    slots = np.array(sorted(r["slot"] for r in told.select("slot").collect()), np.int64)  # at most the sample's features
     known = spark.sparkContext.broadcast(slots)
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,7 +216,8 @@ def train(spark: SparkSession, docs: DataFrame, ratings: DataFrame, *, sample: i
                 values.append(v.values.to_numpy()[hit].tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("grade"), pa.array(columns, pa.binary()), pa.array(values, pa.binary())], ["doc_id", "grade", "columns", "values"])
 
-    rows = sorted(rated.mapInArrow(kept, "doc_id long, grade int, columns binary, values binary").collect(), key=lambda r: (r["doc_id"], bytes(r["columns"])))
+    rows = sorted(rated.mapInArrow(kept, "doc_id long, grade int, columns binary, values binary").collect(), key=lambda r: r["doc_id"])
+    discard(spark, rated)
     grades = np.array([r["grade"] for r in rows], np.int64)
     if len(set(grades.tolist())) < 2:
         return None  # ratings of documents that aren't there

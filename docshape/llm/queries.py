@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, decontaminate, gif, langid, line_dedup, minhash, quality, secret_scan, suffix_dedup, url_filter
+from .staging import new_path
 
 #: The public vocabulary that op5 and op6 use; any rank file of a byte-level BPE will do.
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -37,7 +38,10 @@ def _of_kinds(kinds: list[str]) -> Column:
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secret_scan.findings(spark, table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    # a first load with about half of the documents, then one with all: the second scans only what is new
+    early = docs.where(F.crc32(F.coalesce(F.col("doc_id"), F.lit(0)).cast("string")) % 2 == 0)
+    found = secret_scan.history(spark, [early, docs], new_path(spark, "secret-ledger"))
     kinds = [r.kind for r in secret_scan.RULES]
     number = [F.size(_of_kinds([k])).cast("long").alias(f"n_{k}") for k in kinds]
     base = _of_kinds(kinds)
@@ -82,6 +86,8 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("item_ids").cast("long").alias("n_items"),
         F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"),
         ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
+        "longest",
+        F.array_join("near_ids", ",").alias("near_items"),
     )
 
 
@@ -167,10 +173,23 @@ with split as (
 places as (select doc_id, n, i, array_to_string(w[i:i+n-1], ' ') g from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) i from split, sizes where len(w) >= n)),
 hits as (select p.doc_id, p.i, p.n, x.item_id from places p join windows x on x.g = p.g and x.n = p.n),
 covered as (select doc_id, count(distinct pos) n_hit from (select doc_id, unnest(range(i, i + n)) pos from (select distinct doc_id, i, n from hits)) group by doc_id),
-named as (select doc_id, count(*) n_items, string_agg(item_id, ',' order by item_id) ids from (select distinct doc_id, item_id from hits) group by doc_id)
-select s.doc_id, cast(len(w) as bigint) n_words, coalesce(n_hit, 0) n_hit, coalesce(n_items, 0) n_items, sha256(coalesce(ids, '')) items_sha256,
-  coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) contaminated
-from split s left join covered c on c.doc_id = s.doc_id left join named m on m.doc_id = s.doc_id
+named as (select doc_id, count(*) n_items, string_agg(item_id, ',' order by item_id) ids from (select distinct doc_id, item_id from hits) group by doc_id),
+starts as (select item_id, n, o, array_to_string(w[o:o+n-1], ' ') g from (select item_id, w, least(13, len(w)) n, unnest(range(1, len(w) - least(13, len(w)) + 2)) o from items where len(w) > 0)),
+placed as (select distinct h.doc_id, h.item_id, h.n, h.i, h.i - s.o shift from (select doc_id, i, item_id, n, array_to_string(w[i:i+n-1], ' ') g from hits join split using (doc_id)) h join starts s on s.item_id = h.item_id and s.g = h.g),
+islands as (select *, i - row_number() over (partition by doc_id, item_id, shift order by i) island from placed),
+longest as (select doc_id, max(size) longest from (select doc_id, n - 1 + count(*) size from islands group by doc_id, item_id, n, shift, island) group by doc_id),
+terms as (select distinct item_id, unnest(w) term from items),
+postings as (select * from (select doc_id, unnest(w) term, unnest(range(len(w))) pos from split) where term in (select term from terms)),
+rarest as (
+  select * from (select item_id, t.term, row_number() over (partition by item_id order by coalesce(n, 0), t.term) place from terms t left join (select term, count(*) n from postings group by term) f on f.term = t.term) where place <= 3
+), seats as (select doc_id, pos, item_id, place, max(place) over (partition by item_id) need from rarest left join postings using (term)),
+close as (
+  select *, max((place = 1)::int) over w + max((place = 2)::int) over w + max((place = 3)::int) over w met from seats where doc_id is not null
+  window w as (partition by doc_id, item_id order by pos range between 13 preceding and 13 following)
+), near as (select doc_id, string_agg(item_id, ',' order by item_id) ids from (select distinct doc_id, item_id from close where place = 1 and met = need) group by doc_id)
+select s.doc_id, cast(len(w) as bigint) n_words, coalesce(n_hit, 0) n_hit, coalesce(n_items, 0) n_items, sha256(coalesce(m.ids, '')) items_sha256,
+  coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) contaminated, cast(coalesce(longest, 0) as int) longest, coalesce(e.ids, '') near_items
+from split s left join covered c on c.doc_id = s.doc_id left join named m on m.doc_id = s.doc_id left join longest l on l.doc_id = s.doc_id left join near e on e.doc_id = s.doc_id
 """
 
 _OP9 = r"""
@@ -186,14 +205,19 @@ fits as (
   select page_id, arg_max(h || p, length(h || p)) rule, arg_max(block, length(h || p)) block
   from spelled, rules where (host = h or ends_with(host, '.' || h)) and starts_with(path, p) group by page_id
 ), tags as (
-  select alias, unnest(regexp_extract_all(html, '(?is)<(link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*|meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*)>', 1)) tag from spelled
+  select alias, unnest(regexp_extract_all(regexp_replace(html, '(?is)<!--.*?(?:-->|$)|<script\b.*?(?:</script\s*>|$)', '', 'g'), '(?is)<(link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*|meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*)>', 1)) tag from spelled
 ), targets as (select alias, regexp_extract(tag, '(?is)(?:\bhref\s*=\s*["'']?|\burl\s*=\s*[''"]?)([a-z][a-z0-9+.-]*://[^"''\s>]+)', 1) t from tags),
 joined as (
   select alias a, translate(regexp_extract(t, '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || regexp_replace(regexp_extract(t, '://[^/?#]*([^?#]*)', 1), '/+$', '') b from targets where t <> '' and alias is not null
 ), both_ways as (select a, b from joined union select b, a from joined),
 reach(node, root) as (select distinct alias, alias from spelled where alias is not null union select e.b, r.root from reach r join both_ways e on e.a = r.node),
 part as (select node, min(root) component from reach group by node),
-told as (select p.component, bool_or(f.block) and not bool_or(not f.block) bad from fits f join spelled s on s.page_id = f.page_id join part p on p.node = s.alias group by p.component)
+ends as (
+  select distinct translate(regexp_extract(t, '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') host, regexp_extract(t, '://[^/?#]*([^?#]*)', 1) path from targets where t <> ''
+), judged as (
+  select alias, block from fits join spelled using (page_id) where alias is not null
+  union all select host || regexp_replace(path, '/+$', ''), arg_max(r.block, length(h || p)) from ends, rules r where (host = h or ends_with(host, '.' || h)) and starts_with(path, p) group by host, path
+), told as (select component, bool_or(block) and not bool_or(not block) bad from judged j join part p on p.node = j.alias group by component)
 select s.page_id, s.host, s.path, f.rule, case when coalesce(f.block, t.bad, false) then 'block' else 'allow' end verdict
 from spelled s left join fits f on f.page_id = s.page_id left join part p on p.node = s.alias left join told t on t.component = p.component
 """

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 from .staging import materialize
 
+#: Unseen addresses up to which they are broadcast to pick texts.
+BROADCAST_BLOBS = 100_000
 SPANS = "array<struct<start:int,end:int>>"
 
 
@@ -81,29 +83,42 @@ def empty_ledger(spark: SparkSession) -> DataFrame:
 def scan(spark: SparkSession, texts: DataFrame, ledger: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     """New ledger rows ``(blob, rule, spans)`` for what ``ledger`` lacks.
 
-    ``texts`` has (blob, text), a row for each path and version.  Each blob that has something
-    unseen is shuffled once, by its address; copies collapse before that.
+    ``texts`` has (blob, text), a row for each path and version.  Only addresses meet the ledger; up to
+    ``BROADCAST_BLOBS`` unseen ones then pick their texts where these are read, and seen texts don't
+    move.  Of more, each text is shuffled once, by its address; copies collapse before that.
     """
     keys = [r.key for r in rules]
     seen = ledger.where(F.col("rule").isin(keys)).groupBy("blob").agg(F.collect_set("rule").alias("seen"))
-    open_texts = texts.join(seen, "blob", "left").withColumn("todo", F.array_except(F.array(*map(F.lit, keys)), F.coalesce("seen", F.array().cast("array<string>"))))
-    unseen = open_texts.where(F.size("todo") > 0).groupBy("blob").agg(F.first("text").alias("text"), F.first("todo").alias("todo"))
+    todo = texts.select("blob").distinct().join(seen, "blob", "left")
+    todo = todo.select("blob", F.array_except(F.array(*map(F.lit, keys)), F.coalesce("seen", F.array().cast("array<string>"))).alias("todo")).where(F.size("todo") > 0)
+    todo = materialize(spark, todo, "secret-todo")
+    if todo.count() <= BROADCAST_BLOBS:
+        picked = texts.join(F.broadcast(todo.select("blob")), "blob", "left_semi")
+    else:
+        picked = texts
+    unseen = picked.groupBy("blob").agg(F.first("text").alias("text")).join(todo, "blob")
     found = F.array(*[F.when(F.array_contains("todo", r.key), F.struct(F.lit(r.key).alias("rule"), spans(F.col("text"), r).alias("spans"))) for r in rules])
     rows = unseen.select("blob", F.explode(found).alias("f")).where("f is not null")
     return rows.select("blob", "f.rule", "f.spans")
 
 
-def update(spark: SparkSession, texts: DataFrame, path: str, rules: Sequence[Rule] = RULES) -> DataFrame:
-    """Bring the ledger at ``path`` (a folder that all executors share) up to date and read it."""
-    schema = empty_ledger(spark).schema
+def read_ledger(spark: SparkSession, path: str) -> DataFrame:
+    """The ledger at ``path``, one row for each blob and rule version; empty where there is none.
+
+    Writers append, and a retried or second writer may append a pair again: equal pairs have equal spans.
+    """
     try:
-        known = spark.read.schema(schema).parquet(path)
+        return spark.read.schema(empty_ledger(spark).schema).parquet(path).dropDuplicates(["blob", "rule"])
     except Exception as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
-        known = empty_ledger(spark)
-    scan(spark, texts, known, rules).write.mode("append").option("compression", "zstd").parquet(path)
-    return spark.read.schema(schema).parquet(path)
+        return empty_ledger(spark)
+
+
+def update(spark: SparkSession, texts: DataFrame, path: str, rules: Sequence[Rule] = RULES) -> DataFrame:
+    """Bring the ledger at ``path`` (a folder that all executors share) up to date and read it."""
+    scan(spark, texts, read_ledger(spark, path), rules).write.mode("append").option("compression", "zstd").parquet(path)
+    return read_ledger(spark, path)
 
 
 def addressed(docs: DataFrame) -> DataFrame:
@@ -112,9 +127,27 @@ def addressed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", text.alias("text")).select("doc_id", F.sha2("text", 256).alias("blob"), "text")
 
 
+_FOUND = "array<struct<start:int,rank:int,end:int,kind:string>>"
+
+
+def by_blob(ledger: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
+    """``(blob, spans)`` of the blobs with findings by these rule versions: an array of
+    (start, rank, end, kind), by start and then in the order of the rules."""
+    rank = F.create_map(*[F.lit(x) for k, r in enumerate(rules) for x in (r.key, k)])
+    kind = F.create_map(*[F.lit(x) for r in rules for x in (r.key, r.kind)])
+    hit = ledger.where(F.col("rule").isin([r.key for r in rules]) & (F.size("spans") > 0)).select("blob", "rule", F.explode("spans").alias("s"))
+    hit = hit.select("blob", F.struct(F.col("s.start").alias("start"), rank[F.col("rule")].alias("rank"), F.col("s.end").alias("end"), kind[F.col("rule")].alias("kind")).alias("s"))
+    return hit.groupBy("blob").agg(F.array_sort(F.collect_set("s")).alias("spans"))
+
+
+def joined(texts: DataFrame, ledger: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
+    """``(doc_id, blob, spans)``: the ledger's findings at every path of ``texts`` (doc_id, blob); no text moves."""
+    found = by_blob(ledger, rules)
+    return texts.select("doc_id", "blob").join(found, "blob", "left").select("doc_id", "blob", F.coalesce("spans", F.array().cast(_FOUND)).alias("spans"))
+
+
 def findings(spark: SparkSession, docs: DataFrame, ledger: DataFrame | None = None, rules: Sequence[Rule] = RULES) -> DataFrame:
-    """``(doc_id, blob, spans)``, one row for each row of ``docs``: all spans of all rules, as an
-    array of (start, rank, end, kind), by start and then in the order of the rules.
+    """``(doc_id, blob, spans)``, one row for each row of ``docs``: all spans of all rules.
 
     ``ledger`` holds earlier scans; only what it lacks is scanned.  Repeated rows and rows with a
     null doc_id get results like any other; a null or empty text has no spans; other columns are
@@ -123,13 +156,15 @@ def findings(spark: SparkSession, docs: DataFrame, ledger: DataFrame | None = No
     texts = addressed(docs)
     old = ledger if ledger is not None else empty_ledger(spark)
     new = materialize(spark, scan(spark, texts.select("blob", "text"), old, rules), "secret-ledger")
-    every = new if ledger is None else new.unionByName(ledger.select("blob", "rule", "spans").where(F.col("rule").isin([r.key for r in rules])))
-    rank = F.create_map(*[F.lit(x) for k, r in enumerate(rules) for x in (r.key, k)])
-    kind = F.create_map(*[F.lit(x) for r in rules for x in (r.key, r.kind)])
-    hit = every.where(F.size("spans") > 0).select("blob", "rule", F.explode("spans").alias("s"))
-    hit = hit.select("blob", F.struct(F.col("s.start").alias("start"), rank[F.col("rule")].alias("rank"), F.col("s.end").alias("end"), kind[F.col("rule")].alias("kind")).alias("s"))
-    by_blob = hit.groupBy("blob").agg(F.array_sort(F.collect_set("s")).alias("spans"))
-    # of the texts only addresses are shuffled here
-    return texts.select("doc_id", "blob").join(by_blob, "blob", "left").select(
-        "doc_id", "blob", F.coalesce("spans", F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>")).alias("spans")
-    )
+    return joined(texts, new if ledger is None else new.unionByName(ledger.select("blob", "rule", "spans")), rules)
+
+
+def history(spark: SparkSession, loads: Sequence[DataFrame], path: str, rules: Sequence[Rule] = RULES) -> DataFrame:
+    """``findings`` of the last of several loads, each a snapshot (doc_id, text) of all paths at its time.
+
+    The ledger at ``path`` keeps every version that any load held: a load scans only blobs that no
+    earlier one had.
+    """
+    for docs in loads:
+        update(spark, addressed(docs).select("blob", "text"), path, rules)
+    return joined(addressed(loads[-1]), read_ledger(spark, path), rules)
