@@ -35,10 +35,7 @@ def line_spread_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     A document that loses all its lines so (every line of it stays elsewhere) goes; one that had
     none to begin with stays.
     """
-    found = line_dedup.remove_boilerplate(spark, docs)
-    left = found.where((F.col("n_removed") == 0) | (F.trim(F.col("text")) != ""))
-    columns = [F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col(c)).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
-    return left.select(*columns)
+    return line_dedup.without_boilerplate(spark, docs)
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,11 +46,9 @@ def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of whose words a twentieth or more is inside benchmark windows go."""
-    judged = decontaminate.contamination(spark, docs, table(spark, sf_dir, "benchmark"))
-    gone = judged.where("n_hit > 0 and 20 * n_hit >= n_words").select("doc_id", "mark").distinct()
-    gone = materialize(spark, gone, "pipeline-leaks")
-    return docs.alias("d").join(gone.alias("g"), _same_row("d", "g", F.xxhash64(F.coalesce(F.col("d.text"), F.lit("")))), "left_anti")
+    """Documents that hold 13 consecutive words of a benchmark item go, however long they are, and those of
+    whose words a twentieth or more is inside items shorter than that."""
+    return decontaminate.without_leaks(spark, docs, table(spark, sf_dir, "benchmark"))
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
