@@ -13,14 +13,14 @@ of edited copies that is the least edited one, to which nearly all others are li
 
 A star alone could miss links between two members that are both unlike its centre.  So buckets
 whose members are still in several components get a second round: members outside the bucket's
-main component are matched with those of other components by long sketches (``SKETCH`` bins of
-two bits, compared inside the join as machine words), and only pairs that the sketches don't rule
-out, five standard errors below the threshold, become candidates and are confirmed on full sets.
-Bins of a set of few shingles depend on each other, which widens that error: a pair whose smaller
-set has at most ``FEW`` shingles is compared by parities instead.  Each shingle flips one of
-``SKETCH`` bits, so that sets differ by at least the bits that do: no link can be ruled out.
+main component are matched with those of other components by parities.  Each shingle flips one of
+``PARITY`` bits, so that two sets differ by at least the bits that do: the comparison, of machine words
+inside the join, rules out most pairs and never a link.  The rest is confirmed on full sets.
 Such a pair is matched in the first of the buckets that it shares.  Each pair that shares a bucket
 is thus confirmed, refuted or already connected.
+
+A bucket may hold a third of all sets.  Its rows meet what belongs to their bucket by a broadcast of
+the heaviest buckets, at most ``staging.HEAVY`` of them, and by a shuffle for the others.
 """
 
 from __future__ import annotations
@@ -33,17 +33,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .staging import discard, materialize
+from .staging import discard, join_by_weight, materialize
 from .textkit import LOWER, chunks, mix, set_of, span_hashes, words
 
 BINS, ROWS = 128, 4
 #: Attempts at densifying before an empty bin takes the next filled one.
 ATTEMPTS = 64
-#: Bins of the second round's sketches, and of what share of bins equal sets must not fall short.
-SKETCH, ERRORS = 1024, 5
-#: Shingles up to which a pair's smaller set is compared by parities in the second round.
-FEW = 128
-_PLANES = SKETCH // 64
+#: Bits of the second round's parities.
+PARITY = 1024
+_PLANES = PARITY // 64
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 _WORD = ~set_of("\x20\x09\x0a\x0b\x0c\x0d")
 
@@ -144,26 +142,13 @@ def _signatures(n: int, bins: int, rows: int):
     return run
 
 
-def sketch_words(values: np.ndarray) -> np.ndarray:
-    """The two lowest bits of mixed MinHash values as ``2 * _PLANES`` 64-bit words: first bits first."""
-    low = mix(values)
-    planes = [np.packbits(((low >> np.uint64(k)) & np.uint64(1)).astype(np.uint8), axis=1).view(np.int64) for k in (0, 1)]
-    return np.concatenate(planes, axis=1)
-
-
-def least_agreement(percent: int) -> int:
-    """Sketch bins on which two sets of the least similarity agree, less ``ERRORS`` standard errors."""
-    p = percent / 100 + (1 - percent / 100) / 4
-    return int(SKETCH * p - ERRORS * (SKETCH * p * (1 - p)) ** 0.5)
-
-
 def parity_words(one: np.ndarray) -> np.ndarray:
     """``_PLANES`` 64-bit words; each hash flips the bit that its top bits pick."""
-    at = (one >> np.uint64(64 - (SKETCH.bit_length() - 1))).astype(np.int64)
-    return np.packbits((np.bincount(at, minlength=SKETCH) & 1).astype(np.uint8)).view(np.int64)
+    at = (one >> np.uint64(64 - (PARITY.bit_length() - 1))).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=PARITY) & 1).astype(np.uint8)).view(np.int64)
 
 
-def _blobs(n: int, percent: int):
+def _blobs(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             held, size, at = [], 0, 0
@@ -171,14 +156,9 @@ def _blobs(n: int, percent: int):
                 held.append(one)
                 size += one.nbytes
                 if size > 16 << 20 or len(held) == 1024 or k == batch.num_rows:
-                    sketch = sketch_words(densified(held, SKETCH))
-                    edges = pa.array(np.arange(len(held) + 1, dtype=np.int32) * np.int32(2 * _PLANES))
-                    # no set that can be linked with one of FEW shingles is larger than this
-                    parity = pa.array([parity_words(x) if percent * len(x) <= 100 * FEW else None for x in held], pa.list_(pa.int64()))
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column("doc_id").slice(at, k - at), pa.array([x.tobytes() for x in held], pa.binary()), pa.ListArray.from_arrays(edges, pa.array(sketch.reshape(-1))), parity],
-                        ["doc_id", "shingles", "sketch", "parity"],
-                    )
+                    edges = pa.array(np.arange(len(held) + 1, dtype=np.int32) * np.int32(_PLANES))
+                    parity = pa.ListArray.from_arrays(edges, pa.array(np.concatenate([parity_words(x) for x in held])))
+                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, k - at), pa.array([x.tobytes() for x in held], pa.binary()), parity], ["doc_id", "shingles", "parity"])
                     held, size, at = [], 0, k
 
     return run
@@ -227,19 +207,19 @@ def near_duplicates(
     distinct = signed.where("n_shingles > 0 and doc_id is not null").groupBy(*alike).agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
     distinct = materialize(spark, distinct, "minhash-distinct")
     member = distinct.select("rep", "n_shingles", F.posexplode("bands").alias("band", "key"))
-    full = member.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = materialize(spark, member.join(full, "key"), "minhash-shared")
+    full = materialize(spark, member.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "minhash-full")
+    shared = materialize(spark, join_by_weight(spark, member, full, "key", "n"), "minhash-shared")
     # how many others a set meets in all its buckets; the set that meets most is a bucket's centre
     weight = shared.groupBy("rep").agg(F.sum("n").alias("weight"))
     ids = materialize(spark, weight, "minhash-ids")
     ranked = shared.join(ids, "rep")
-    centre = ranked.groupBy("key").agg(F.max(F.struct("weight", F.bitwise_not("rep").alias("least"), "n_shingles")).alias("c"))
-    centre = centre.select("key", F.bitwise_not("c.least").alias("centre"), F.col("c.n_shingles").alias("centre_size"))
-    seats = materialize(spark, shared.join(centre, "key"), "minhash-seats")
-    discard(spark, shared)
+    centre = ranked.groupBy("key").agg(F.max(F.struct("weight", F.bitwise_not("rep").alias("least"), "n_shingles")).alias("c"), F.count("*").alias("rows"))
+    centre = materialize(spark, centre.select("key", F.bitwise_not("c.least").alias("centre"), F.col("c.n_shingles").alias("centre_size"), "rows"), "minhash-centre")
+    seats = materialize(spark, join_by_weight(spark, shared, centre, "key", "rows").drop("rows"), "minhash-seats")
+    discard(spark, shared, full, centre)
 
     wanted = base.drop("mark").join(ids.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    sets = materialize(spark, wanted.mapInArrow(_blobs(words_per_shingle, percent), "doc_id long, shingles binary, sketch array<long>, parity array<long>"), "minhash-sets")
+    sets = materialize(spark, wanted.mapInArrow(_blobs(words_per_shingle), "doc_id long, shingles binary, parity array<long>"), "minhash-sets")
     x, y = (sets.select(F.col("doc_id").alias(end), F.col("shingles").alias(name)) for end, name in (("a", "x"), ("b", "y")))
 
     def possible(a: str, b: str):
@@ -257,13 +237,12 @@ def near_duplicates(
     placed = seats.where("n > 2").join(label, "rep", "left").select("key", "band", "rep", "centre", "n_shingles", F.coalesce("component", "rep").alias("component"))
     mixed = placed.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
     open_seats = placed.where("rep <> centre").join(mixed.select("key", "main"), "key")
-    sketch = sets.select(F.col("doc_id").alias("rep"), "sketch", "parity")
+    parity = sets.select(F.col("doc_id").alias("rep"), "parity")
     whole = distinct.select("rep", "bands")
     open_seats = open_seats.join(whole, "rep").where(F.array_contains("bands", F.col("key"))).withColumn("before", F.slice("bands", F.lit(1), F.col("band")))
-    planes = [F.get("sketch", F.lit(k)).alias(f"s{k}") for k in range(2 * _PLANES)] + [F.get("parity", F.lit(k)).alias(f"t{k}") for k in range(_PLANES)]
-    open_seats = open_seats.join(sketch, "rep").select("key", "before", "main", "rep", "n_shingles", "component", *planes)
+    planes = [F.get("parity", F.lit(k)).alias(f"t{k}") for k in range(_PLANES)]
+    open_seats = open_seats.join(parity, "rep").select("key", "before", "main", "rep", "n_shingles", "component", *planes)
     p, q = open_seats.where("component <> main").alias("p"), open_seats.alias("q")
-    agreed = sum((F.bit_count(F.bitwise_not(F.col(f"p.s{k}").bitwiseXOR(F.col(f"q.s{k}")).bitwiseOR(F.col(f"p.s{k + _PLANES}").bitwiseXOR(F.col(f"q.s{k + _PLANES}"))))) for k in range(_PLANES)), F.lit(0))
     differ = sum((F.bit_count(F.col(f"p.t{k}").bitwiseXOR(F.col(f"q.t{k}"))) for k in range(_PLANES)), F.lit(0))
     # |a & b| and |a | b| are half of |a| + |b| less and plus the difference
     near = (100 + percent) * differ <= (100 - percent) * (F.col("p.n_shingles") + F.col("q.n_shingles"))
@@ -273,7 +252,7 @@ def near_duplicates(
         & (F.col("p.component") != F.col("q.component"))
         & ((F.col("q.component") == F.col("q.main")) | (F.col("p.rep") < F.col("q.rep")))
         & possible("p.n_shingles", "q.n_shingles")
-        & F.when(F.col("p.t0").isNotNull() & F.col("q.t0").isNotNull(), near).otherwise(agreed >= least_agreement(percent))
+        & near
         & ~F.arrays_overlap("p.before", "q.before"),
     ).select(F.least("p.rep", "q.rep").alias("a"), F.greatest("p.rep", "q.rep").alias("b"))
     rest = materialize(spark, rest.distinct(), "minhash-rest")

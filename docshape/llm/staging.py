@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -46,6 +47,23 @@ def materialize(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+#: Keys that count as heavy in ``join_by_weight`` have this fraction of all rows or more, so there are at
+#: most so many: what is broadcast has a fixed bound whatever the data.
+HEAVY = 4096
+
+
+def join_by_weight(spark: SparkSession, big: DataFrame, small: DataFrame, key: str, weight: str) -> DataFrame:
+    """``big`` joined (inner) to ``small``, which has one row for each key and ``weight``, its rows in ``big``.
+
+    Rows of heavy keys stay where they are and meet a broadcast; the others are shuffled, and no
+    key among them has more than 1 / ``HEAVY`` of all rows.  ``small`` must be materialized.
+    """
+    total = small.agg(F.sum(weight).alias("n")).first()["n"] or 0
+    heavy = F.broadcast(small.where(F.col(weight) * HEAVY >= total))
+    light = big.join(heavy.select(key), key, "left_anti").join(small.where(F.col(weight) * HEAVY < total), key)
+    return big.join(heavy, key).unionByName(light)
+
+
 def discard(spark: SparkSession, *tables: DataFrame) -> None:
     """Delete materialized tables that nothing will read again."""
     for table in tables:
