@@ -21,6 +21,18 @@ def cbor_encode(values: pa.Array) -> pa.Array:
     return pa.array([cbor.encode(cbor.item_of(v)) for v in values.to_pylist()], pa.binary())
 
 
+@F.arrow_udf(T.BinaryType())
+def cbor_encode_present(values: pa.Array) -> pa.Array:
+    """As ``cbor_encode``, but a null struct field is an absent member."""
+
+    def present(v):
+        if isinstance(v, dict):
+            return {k: present(x) for k, x in v.items() if x is not None}
+        return [present(x) for x in v] if isinstance(v, list) else v
+
+    return pa.array([cbor.encode(cbor.item_of(present(v))) for v in values.to_pylist()], pa.binary())
+
+
 def _plain(item: Item):
     match item.kind:
         case "map":

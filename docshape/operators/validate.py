@@ -6,7 +6,6 @@ Schemas travel as text and are parsed once per worker.
 
 from __future__ import annotations
 
-from dataclasses import asdict
 from functools import lru_cache
 
 import pyarrow as pa
@@ -23,6 +22,7 @@ _ISSUE = "path string, reason string, kind string, multi_type_choice boolean, mu
 VERDICT = f"is_valid boolean, status string, issues array<struct<{', '.join(p.replace(' ', ':', 1) for p in _ISSUE.split(', '))}>>"
 _ARROW_ISSUE = pa.struct([(n, pa.bool_() if t == "boolean" else pa.string()) for n, t in (p.split() for p in _ISSUE.split(", "))])
 _ARROW_VERDICT = pa.struct([("is_valid", pa.bool_()), ("status", pa.string()), ("issues", pa.list_(_ARROW_ISSUE))])
+_ISSUES = VERDICT.split("issues ", 1)[1]
 MODELS = ("json", "cbor", "cborseq")
 
 
@@ -92,10 +92,29 @@ def validate(
                 out.append(None)
             else:
                 status, issues = check(index, root, document, model, options)
-                out.append({"is_valid": status == "valid", "status": status, "issues": [asdict(i) for i in issues]})
+                out.append({"is_valid": status == "valid", "status": status, "issues": [vars(i) for i in issues]})
         return pa.array(out, _ARROW_VERDICT)
 
-    return df.withColumn(output, verdict(F.col(column)))
+    fast = _compiled(schema, column, rule, model, options)
+    if fast is None:
+        return df.withColumn(output, verdict(F.col(column)))
+    # what surely matches needs no walker: it gets no text
+    doubtful = F.when(~F.coalesce(fast, F.lit(False)), F.col(column))
+    valid = F.struct(F.lit(True).alias("is_valid"), F.lit("valid").alias("status"), F.array().cast(_ISSUES).alias("issues"))
+    return df.withColumn(output, F.coalesce(verdict(doubtful), F.when(F.col(column).isNotNull(), valid)))
+
+
+def _compiled(schema: CDDL | str, column: str | Column, rule: str | None, model: str, options: Options) -> Column | None:
+    """The rule as an expression over JSON text, NULL where only the walker can tell; None if it has none."""
+    if model != "json":
+        return None
+    from ..plans.compile import NotCompilable
+    from ..plans.json import compile_json
+
+    try:
+        return compile_json(schema, column, rule=rule, options=options)
+    except NotCompilable:
+        return None
 
 
 def is_valid(schema: CDDL | str, column: str | Column, *, rule: str | None = None, model: str = "json", options: Options = Options()) -> Column:
@@ -107,4 +126,6 @@ def is_valid(schema: CDDL | str, column: str | Column, *, rule: str | None = Non
         index = _index(text)
         return pa.array([None if d is None else check(index, root, d, model, options, False)[0] == "valid" for d in documents.to_pylist()], pa.bool_())
 
-    return matches(F.col(column) if isinstance(column, str) else column)
+    documents = F.col(column) if isinstance(column, str) else column
+    fast = _compiled(schema, documents, rule, model, options)
+    return matches(documents) if fast is None else F.coalesce(fast, matches(F.when(fast.isNull(), documents)))

@@ -77,7 +77,7 @@ class _Compiler:
             pattern = literals[0].value
             if not _portable(pattern):
                 raise NotCompilable(f"the pattern {pattern!r}")
-            own = python_pattern(pattern).replace(r"\Z", r"\z")
+            own = python_pattern(pattern, name).replace(r"\Z", r"\z")
             return target & c.rlike(f"(?d){own}" if name == "regexp" else rf"(?d)\A(?:{own})\z")
         raise NotCompilable(f".{name}")
 
@@ -261,6 +261,6 @@ def matches(df: DataFrame, schema: CDDL | str, column: str, *, rule: str | None
     try:
         return compile_rule(schema, column, kind, rule=rule), "catalyst"
     except NotCompilable:
-        from ..functions import cbor_encode
+        from ..functions.codecs import cbor_encode_present
 
-        return F.when(F.col(column).isNotNull(), is_valid(schema, cbor_encode(F.col(column)), rule=rule, model="cbor")), "arrow"
+        return F.when(F.col(column).isNotNull(), is_valid(schema, cbor_encode_present(F.col(column)), rule=rule, model="cbor")), "arrow"

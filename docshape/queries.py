@@ -32,6 +32,7 @@ from .operators import (
 )
 from .operators.issues import explode_issues
 from .plans import matches
+from .sources import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -78,7 +79,7 @@ def _walked(name: str, table: str, document: Callable[[], Column], schema: str,
     """A rule over documents made from rows, by the walker; counts of matching rows."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return _counted(_table(spark, sf_dir, table), is_valid(schema, document(), model=model, options=options, rule=rule))
+        return _counted(spread(_table(spark, sf_dir, table)), is_valid(schema, document(), model=model, options=options, rule=rule))
 
     _define(name, run, f"select count(*) filter ({predicate}) n_valid, count(*) n from {table}")
 
@@ -302,7 +303,7 @@ _LINE = "l = { q: 0.0..40.0, d: 0.0..0.05 }"
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", _json(F.col("l_quantity").alias("q"), F.col("l_discount").alias("d")).alias("doc"))
+    df = spread(_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_discount")).select("l_orderkey", "l_linenumber", _json(F.col("l_quantity").alias("q"), F.col("l_discount").alias("d")).alias("doc"))
     return validate(df, _LINE, "doc")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,7 +32,24 @@ def read_json_documents(spark: SparkSession, path: str, lines: bool = True) -> D
     return spark.read.text(path, wholetext=not lines).select(F.input_file_name().alias("path"), F.col("value").alias("document"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows of a file scan, dealt to all cores if the files have fewer splits than that.
+
+    For Python-bound work on few or unsplittable files.  With as many splits as cores, as any large table has,
+    nothing is shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def write_verdicts(df: DataFrame, good: str, bad: str, verdict: str = "verdict") -> None:
-    """Valid rows to one Parquet folder, all others with their verdicts to another."""
-    df.where(f"{verdict}.is_valid").drop(verdict).write.mode("append").parquet(good)
-    df.where(f"not coalesce({verdict}.is_valid, false)").write.mode("append").parquet(bad)
+    """Valid rows to one Parquet folder, all others with their verdicts to another.
+
+    Rows are judged once: they are kept, on disk where memory is short, between the two writes.
+    """
+    held = df.persist(StorageLevel.DISK_ONLY)
+    try:
+        held.where(f"{verdict}.is_valid").drop(verdict).write.mode("append").parquet(good)
+        held.where(f"not coalesce({verdict}.is_valid, false)").write.mode("append").parquet(bad)
+    finally:
+        held.unpersist()

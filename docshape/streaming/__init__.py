@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -28,7 +29,9 @@ def write_split(stream: DataFrame, good: str, bad: str, checkpoint: str, verdict
     """
 
     def split(batch: DataFrame, number: int) -> None:
+        batch = batch.persist(StorageLevel.DISK_ONLY)  # judged once for both writes
         batch.where(f"{verdict}.is_valid").drop(verdict).write.mode("overwrite").parquet(f"{good}/batch={number}")
         batch.where(f"not coalesce({verdict}.is_valid, false)").write.mode("overwrite").parquet(f"{bad}/batch={number}")
+        batch.unpersist()
 
     return stream.writeStream.foreachBatch(split).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
