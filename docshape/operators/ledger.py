@@ -7,8 +7,6 @@ to 64 bytes; issues that vanish are the ledger's own way of writing.
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,12 +20,7 @@ CHUNK, MAX_EMBEDDED = 64, 16
 
 
 def era_schema(spark: SparkSession, folder: str, era: str) -> CDDL:
-    """The schema ``<era>.cddl`` of a folder that Spark can read; read once per session."""
-    return _era(spark, folder, era)
-
-
-@lru_cache(maxsize=64)
-def _era(spark: SparkSession, folder: str, era: str) -> CDDL:
+    """The schema ``<era>.cddl`` of a folder that Spark can read, as it is now."""
     return CDDL(spark.read.text(f"{folder}/{era}.cddl", wholetext=True).first()["value"])
 
 

@@ -58,12 +58,12 @@ def read_document(document: str | bytes, model: str) -> Item:
     return cbor.decode(document) if model == "cbor" else Item("array", cbor.decode_sequence(document))
 
 
-def check(index: Index, rule: str, document: str | bytes, model: str, options: Options, issues: bool = True) -> tuple[str, list[Issue]]:
+def check(index: Index, rule: str, document: str | bytes, model: str, options: Options, issues: bool = True, failed: bool = False) -> tuple[str, list[Issue]]:
     try:
         item = read_document(document, model)
     except ValueError as e:
         return "malformedDocument", [Issue("", str(e), "malformedDocument")]
-    return validate_item(index, rule, item, "json" if model == "json" else "cbor", options, issues)
+    return validate_item(index, rule, item, "json" if model == "json" else "cbor", options, issues, failed)
 
 
 def _prepared(schema: CDDL | str, rule: str | None, model: str) -> tuple[str, str]:
@@ -85,23 +85,25 @@ def validate(
     text, root = _prepared(schema, rule, model)
 
     @F.arrow_udf(f"struct<{VERDICT.replace(' boolean', ':boolean').replace(' string', ':string').replace(' array', ':array')}>")
-    def verdict(documents: pa.Array) -> pa.Array:
+    def verdict(documents: pa.Array, failed: pa.Array) -> pa.Array:
         index, out = _index(text), []
-        for document in documents.to_pylist():
+        for document, known in zip(documents.to_pylist(), failed.to_pylist()):
             if document is None:
                 out.append(None)
             else:
-                status, issues = check(index, root, document, model, options)
+                status, issues = check(index, root, document, model, options, failed=known)
                 out.append({"is_valid": status == "valid", "status": status, "issues": [vars(i) for i in issues]})
         return pa.array(out, _ARROW_VERDICT)
 
+    # so that filters on the verdict, also those that Spark infers, don't walk every document again below it
+    verdict = verdict.asNondeterministic()
     fast = _compiled(schema, column, rule, model, options)
     if fast is None:
-        return df.withColumn(output, verdict(F.col(column)))
+        return df.withColumn(output, verdict(F.col(column), F.lit(False)))
     # what surely matches needs no walker: it gets no text
     doubtful = F.when(~F.coalesce(fast, F.lit(False)), F.col(column))
     valid = F.struct(F.lit(True).alias("is_valid"), F.lit("valid").alias("status"), F.array().cast(_ISSUES).alias("issues"))
-    return df.withColumn(output, F.coalesce(verdict(doubtful), F.when(F.col(column).isNotNull(), valid)))
+    return df.withColumn(output, F.coalesce(verdict(doubtful, fast.isNotNull()), F.when(F.col(column).isNotNull(), valid)))
 
 
 def _compiled(schema: CDDL | str, column: str | Column, rule: str | None, model: str, options: Options) -> Column | None:

@@ -127,3 +127,24 @@ def test_models_agree(schema, value):
 
     own = CDDL(schema)
     assert own.check(json.dumps(value))[0] == own.check(cbor.encode(cbor.item_of(value)))[0]
+
+
+@pytest.mark.parametrize("schema, start, end", [("a = [* a]", "[", "]"), ("a = {? k: a}", '{"k":', "}"), ("a = {(k: a // z: int)}", '{"k":', "}"), ("a = {~m} / {}\nm = {k: a}", '{"k":', "}"), ("a = [g] / [] \ng = (a)", "[", "]")])
+def test_depth_up_to_the_limit(schema, start, end):
+    own, inner = CDDL(schema), {"]": "[]", "}": '{"z":1}' if "z" in schema else "{}"}[end]
+    for n, status in ((12_000, "valid"), (16_380, "valid"), (16_400, "unsupported")):
+        assert own.check(start * n + inner + end * n)[0] == status
+
+
+@pytest.mark.parametrize(
+    "control, pattern, text, status",
+    [
+        ("regexp", "^[a-z]+$", "abc\n", "mismatch"), ("regexp", "a.c", "a\rc", "valid"), ("regexp", "a.c", "a\nc", "mismatch"), ("regexp", "(?m)^b$", "a\nb\n", "valid"), ("regexp", "^[]$]+$", "]$\n", "mismatch"),
+        ("regexp", "^[]$]+$", "]$", "valid"), ("regexp", r"^did\\:\\d+$", "did:42", "valid"), ("regexp", r"^\\w$", "w", "valid"), ("regexp", r"^\\w$", "x", "mismatch"), ("regexp", r"[\\i]", "i", "valid"), ("regexp", "(?=x)", "x", "invalidSchema"),
+        ("iregexp", r"\\p{L}+", "añ漢", "valid"), ("iregexp", r"\\p{L}+", "a1", "mismatch"), ("pcre", r"(?<a_b>x)\\k<a_b>", "xx", "valid"), ("pcre", r"(?P<a_b>x)(?P=a_b)", "xy", "mismatch"), ("pcre", r"\\w+", "ab", "valid"), ("pcre", "a$", "a\n", "mismatch"),
+    ],
+)
+def test_patterns(control, pattern, text, status):
+    import json
+
+    assert CDDL(f'a = tstr .{control} "{pattern}"').check(json.dumps(text))[0] == status
