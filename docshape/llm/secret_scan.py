@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 
 from .staging import materialize
 
-#: Unseen addresses up to which they are broadcast to pick texts.
-BROADCAST_BLOBS = 100_000
+#: Unseen addresses are broadcast to pick texts if they are at most so many, and at most this share of all:
+#: with more of them there is little that could stay where it is.
+BROADCAST_BLOBS, BROADCAST_SHARE = 100_000, 0.25
 SPANS = "array<struct<start:int,end:int>>"
 
 
@@ -83,19 +84,19 @@ def empty_ledger(spark: SparkSession) -> DataFrame:
 def scan(spark: SparkSession, texts: DataFrame, ledger: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     """New ledger rows ``(blob, rule, spans)`` for what ``ledger`` lacks.
 
-    ``texts`` has (blob, text), a row for each path and version.  Only addresses meet the ledger; up to
-    ``BROADCAST_BLOBS`` unseen ones then pick their texts where these are read, and seen texts don't
-    move.  Of more, each text is shuffled once, by its address; copies collapse before that.
+    ``texts`` has (blob, text), a row for each path and version.  Only addresses meet the ledger.  Where
+    few are unseen (``BROADCAST_BLOBS``, ``BROADCAST_SHARE``) these pick their texts where they are read, and
+    seen texts don't move; else each text is shuffled once, by its address; copies collapse before that.
     """
     keys = [r.key for r in rules]
     seen = ledger.where(F.col("rule").isin(keys)).groupBy("blob").agg(F.collect_set("rule").alias("seen"))
-    todo = texts.select("blob").distinct().join(seen, "blob", "left")
-    todo = todo.select("blob", F.array_except(F.array(*map(F.lit, keys)), F.coalesce("seen", F.array().cast("array<string>"))).alias("todo")).where(F.size("todo") > 0)
-    todo = materialize(spark, todo, "secret-todo")
-    if todo.count() <= BROADCAST_BLOBS:
-        picked = texts.join(F.broadcast(todo.select("blob")), "blob", "left_semi")
-    else:
-        picked = texts
+    every = texts.select("blob").distinct().join(seen, "blob", "left")
+    every = every.select("blob", F.array_except(F.array(*map(F.lit, keys)), F.coalesce("seen", F.array().cast("array<string>"))).alias("todo"))
+    every = materialize(spark, every, "secret-addresses")
+    todo = every.where(F.size("todo") > 0)
+    count = every.agg(F.count("*").alias("n"), F.count_if(F.size("todo") > 0).alias("unseen")).first()
+    few = count["unseen"] <= min(BROADCAST_BLOBS, BROADCAST_SHARE * count["n"])
+    picked = texts.join(F.broadcast(todo.select("blob")), "blob", "left_semi") if few else texts
     unseen = picked.groupBy("blob").agg(F.first("text").alias("text")).join(todo, "blob")
     found = F.array(*[F.when(F.array_contains("todo", r.key), F.struct(F.lit(r.key).alias("rule"), spans(F.col("text"), r).alias("spans"))) for r in rules])
     rows = unseen.select("blob", F.explode(found).alias("f")).where("f is not null")
