@@ -19,10 +19,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .textkit import CHUNK, Rolling, chunks, distinct_spans, mix, ragged, words
+from .textkit import CHUNK, Rolling, chunks, distinct_spans, mix, ragged, utf8, words
 
 #: About so many documents of each language are read for fitting, whatever the corpus has.
 SAMPLE_PER_LANGUAGE = 600
@@ -49,23 +50,29 @@ def _words_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
 
 
 class _Table:
-    """Finds strings of one length by hash, without collisions among them."""
+    """Finds strings of one length by hash.  A string whose slot is taken goes to a further, smaller level."""
 
     def __init__(self, hashes: np.ndarray, ids: np.ndarray, none: int):
-        bits = max(10, int(len(hashes)).bit_length() + 3)
-        for attempt in range(1, 10_000):
-            self.factor = mix(np.array([attempt], np.uint64))[0] | np.uint64(1)
-            slot = ((hashes * self.factor) >> np.uint64(64 - bits)).astype(np.int64)
-            if len(np.unique(slot)) == len(hashes):
-                break
-            bits += attempt % 8 == 0
-        self.shift = np.uint64(64 - bits)
-        self.keys, self.ids, self.none = np.zeros(1 << bits, np.uint64), np.full(1 << bits, none, np.int64), none
-        self.keys[slot], self.ids[slot] = hashes, ids
+        self.none, self.levels = none, []
+        while len(hashes):
+            bits = max(10, int(len(hashes)).bit_length() + 5)
+            factor = mix(np.array([len(self.levels) + 1], np.uint64))[0] | np.uint64(1)
+            slot = ((hashes * factor) >> np.uint64(64 - bits)).astype(np.int64)
+            _, first = np.unique(slot, return_index=True)
+            keys, held = np.zeros(1 << bits, np.uint64), np.full(1 << bits, none, np.int32)
+            keys[slot[first]], held[slot[first]] = hashes[first], ids[first]
+            self.levels.append((keys, held, factor, np.uint64(64 - bits)))
+            rest = np.ones(len(hashes), bool)
+            rest[first] = False
+            hashes, ids = hashes[rest], ids[rest]
 
     def __call__(self, hashes: np.ndarray) -> np.ndarray:
-        slot = ((hashes * self.factor) >> self.shift).astype(np.int64)
-        return np.where(self.keys[slot] == hashes, self.ids[slot], self.none)
+        out = np.full(len(hashes), self.none, np.int64)
+        for keys, held, factor, shift in self.levels:
+            slot = ((hashes * factor) >> shift).astype(np.int64)
+            hit = np.flatnonzero(keys[slot] == hashes)
+            out[hit] = np.minimum(out[hit], held[slot[hit]])
+        return out
 
 
 class _Lookup:
@@ -114,11 +121,12 @@ class _Lattice:
     """All segmentations of some words, as edges between places; sums are taken in logarithms."""
 
     def __init__(self, lookup: _Lookup, data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
-        word, begin, end, self.piece = lookup.edges(data, starts, ends)
+        word, begin, end, piece = lookup.edges(data, starts, ends)
         size = ends - starts
         self.first = np.cumsum(size + 1) - size - 1
         self.last = self.first + size
-        self.source, self.target = self.first[word] + begin, self.first[word] + end
+        # three small integers for each edge: fitting keeps the edges of its whole sample
+        self.source, self.target, self.piece = (x.astype(np.int32) for x in (self.first[word] + begin, self.first[word] + end, piece))
         # edges of one end and length belong to different words: they are summed together
         new = np.flatnonzero(np.concatenate(([True], (end[1:] != end[:-1]) | (begin[1:] != begin[:-1])))[: len(end)])
         self.steps = list(zip(new.tolist(), np.append(new[1:], len(end)).tolist()))
@@ -178,40 +186,58 @@ def _within_words(piece: bytes) -> bool:
     return bool(piece) and bool(_WORD[list(piece[1:])].all()) and (piece[0] == 32 or bool(_WORD[piece[0]]))
 
 
+#: Words of one lattice in fitting: what is built at a time is small.
+_WORDS = 8192
+
+
 def fit(counts: dict[str, dict[bytes, int]], vocabulary: list[bytes], rounds: int = ROUNDS) -> Model | None:
     """A model of the languages' word counts; words come with their leading space.
 
     Only pieces that occur in the words are kept, and all single bytes, which no language gives
     less than ``FLOOR``: any word has a segmentation.  None without any word.
     """
-    languages = sorted(k for k, v in counts.items() if v)
+    tables = {}
+    for language, own in counts.items():
+        words = sorted(own)
+        tables[language] = np.frombuffer(b"".join(words), np.uint8), np.cumsum([0, *map(len, words)]), np.array([own[w] for w in words], float)
+    return fit_words(tables, vocabulary, rounds)
+
+
+def fit_words(tables: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]], vocabulary: list[bytes], rounds: int = ROUNDS) -> Model | None:
+    """As ``fit``; of each language the bytes of its words, their offsets and their counts."""
+    languages = sorted(k for k, (_, _, n) in tables.items() if len(n))
     if not languages:
         return None
-    own = {k: sorted(counts[k].items()) for k in languages}
-    spans = {}
-    for k in languages:
-        size = np.array([len(w) for w, _ in own[k]], np.int64)
-        spans[k] = np.frombuffer(b"".join(w for w, _ in own[k]), np.uint8), np.cumsum(size) - size, np.cumsum(size)
+
+    def parts(language: str) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        data, at, _ = tables[language]
+        for low in range(0, len(at) - 1, _WORDS):
+            edges = at[low : low + _WORDS + 1]
+            yield data[edges[0] : edges[-1]], edges[:-1] - edges[0], edges[1:] - edges[0]
+
     possible = sorted({bytes([k]) for k in range(256)} | {p for p in vocabulary if _within_words(p)})
     lookup = _Lookup(possible)
     used = np.array([len(p) == 1 for p in possible])
-    for k in languages:
-        used[lookup.edges(*spans[k])[3]] = True
+    for language in languages:
+        for part in parts(language):
+            used[lookup.edges(*part)[3]] = True
     pieces = [p for p, u in zip(possible, used.tolist()) if u]
     single = np.array([len(p) == 1 for p in pieces])
     table = np.zeros((len(pieces), len(languages)))
     lookup = _Lookup(pieces)
     for column, language in enumerate(languages):
-        lattice = _Lattice(lookup, *spans[language])
-        log_weight = np.log(np.array([n for _, n in own[language]], float))
-        owner = np.searchsorted(lattice.last, lattice.target)
+        lattices = [_Lattice(lookup, *part) for part in parts(language)]
+        log_weight = np.log(tables[language][2])
         chance = np.where(single, 1.0, 0.5) / len(pieces)
         for _ in range(rounds):
             with np.errstate(divide="ignore"):
                 logs = np.log(chance)
-            ahead, back = lattice.forward(logs), lattice.backward(logs)
-            share = ahead[lattice.source] + logs[lattice.piece] + back[lattice.target] + (log_weight - ahead[lattice.last])[owner]
-            expected = np.bincount(lattice.piece, np.exp(share), len(pieces))
+            expected = np.zeros(len(pieces))
+            for k, lattice in enumerate(lattices):
+                ahead, back = lattice.forward(logs), lattice.backward(logs)
+                own = log_weight[k * _WORDS : (k + 1) * _WORDS] - ahead[lattice.last]
+                share = ahead[lattice.source] + logs[lattice.piece] + back[lattice.target] + own[np.searchsorted(lattice.last, lattice.target)]
+                expected += np.bincount(lattice.piece, np.exp(share), len(pieces))
             chance = expected / expected.sum()
             chance[single] = np.maximum(chance[single], FLOOR)
         table[:, column] = chance
@@ -244,10 +270,14 @@ def train(spark: SparkSession, docs: DataFrame, vocabulary: list[bytes], *, per_
     place = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / float(1 << 30)
     sample = held.where(place < share[F.col("lang")]).select("lang", "text")
     tally = sample.mapInArrow(_count_words, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    counts: dict[str, dict[bytes, int]] = {language: {} for language in sizes}
-    for r in tally.collect():  # the words of the sample
-        counts[r["lang"]][bytes(r["word"])] = r["n"]
-    return fit(counts, vocabulary)
+    found = tally.toArrow().combine_chunks()  # the words of the sample
+    tables = {}
+    for language in sorted(sizes):
+        own = found.filter(pc.equal(found["lang"], language))
+        own = own.take(pc.sort_indices(own["word"]))
+        data, at = utf8(own["word"].combine_chunks())
+        tables[language] = data, at, own["n"].to_numpy().astype(float)
+    return fit_words(tables, vocabulary)
 
 
 def _predict(model: Model | None):
