@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .staging import discard, materialize
+from .staging import discard, join_by_weight, materialize
 from .textkit import Rolling, chunks, mix, ragged, span_hashes, utf8
 
 LENGTH, GRAM = 50, 16
@@ -450,10 +450,13 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, *, length: int = LENGTH
     repeated = entries.groupBy("bucket").applyInArrow(_repeated(buckets), "deal long, docs binary, marks binary, n binary, codes binary")
     repeated = materialize(spark, repeated, "repeats-grams")
 
-    marked = base.select("doc_id", F.crc32("text").alias("mark"), F.sha2("text", 256).alias("sha"), F.octet_length("text").alias("n"))
+    marked = base.select("doc_id", F.crc32("text").alias("mark"), F.unhex(F.sha2("text", 256)).alias("sha"))
+    marked = materialize(spark, marked.where(F.octet_length("text") >= length), "repeats-marked")
     first = marked.groupBy("sha").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("copies")).where("copies > 1")
-    copies = marked.where(F.col("n") >= length).join(first, "sha").where("doc_id > first_doc").select("doc_id", "mark").distinct()
+    first = materialize(spark, first, "repeats-first")
+    copies = join_by_weight(spark, marked, first, "sha", "copies").where("doc_id > first_doc").select("doc_id", "mark").distinct()
     copies = materialize(spark, copies, "repeats-copies")
+    discard(spark, marked, first)
 
     keyed = base.withColumn("mark", F.crc32("text"))
     listed = repeated.groupBy("deal").applyInArrow(_gathered, "doc_id long, mark long, codes binary")
