@@ -162,6 +162,26 @@ from documents d left join listed l on l.doc_id = d.doc_id
 """
 
 
+#: Bytes as two hex digits each; texts are cut in pieces first, as substr reads its text from the start.
+_OP7 = r"""
+with texts as (select doc_id, hex(encode(coalesce(text, ''))) h from documents),
+pieces as (select doc_id, low, substr(h, 2 * low + 1, 610) piece from (select doc_id, h, unnest(range(0, length(h) // 2 - 49, 256)) low from texts where length(h) >= 100)),
+starts as (select doc_id, low + o p, substr(piece, 2 * o + 1, 100) s from (select doc_id, low, piece, unnest(range(least(256, length(piece) // 2 - 49))) o from pieces)),
+firsts as (select s, min(doc_id) doc from starts group by s having min(doc_id) < max(doc_id)),
+hits as (select doc_id, p, lag(p) over (partition by doc_id order by p) last_p from (select t.doc_id, t.p from starts t join firsts f on f.s = t.s where t.doc_id > f.doc)),
+runs as (select doc_id, p, sum(case when p <= last_p + 50 then 0 else 1 end) over (partition by doc_id order by p) run from hits),
+spans as (select doc_id, min(p) low, max(p) + 50 high from runs group by doc_id, run),
+gaps as (
+  select doc_id, low, coalesce(lag(high) over (partition by doc_id order by low), 0) before, high, lead(low) over (partition by doc_id order by low) is null final from spans
+), kept as (
+  select g.doc_id, count(*) n_spans, sum(high - low) n_removed,
+    string_agg(substr(h, 2 * before + 1, 2 * (low - before)), '' order by low) || any_value(substr(h, 2 * high + 1)) filter (final) k
+  from gaps g join texts t on t.doc_id = g.doc_id group by g.doc_id
+)
+select t.doc_id, cast(length(h) // 2 as bigint) n_bytes, cast(coalesce(n_removed, 0) as bigint) n_removed, coalesce(n_spans, 0) n_spans, sha256(unhex(coalesce(k, h))) kept_sha256
+from texts t left join kept k on k.doc_id = t.doc_id
+"""
+
 _OP8 = r"""
 with split as (
   select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') w from documents
@@ -235,4 +255,11 @@ select d.doc_id, coalesce(n_lines, 0) n_lines, coalesce(n_removed, 0) n_removed,
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_minhash_near_dedup": _OP1, "op2_secret_scan": _op2(), "op8_decontamination": _OP8, "op9_url_filter": _OP9, "op10_line_dedup": _OP10}
+    return {
+        "op1_minhash_near_dedup": _OP1,
+        "op2_secret_scan": _op2(),
+        "op7_suffix_dedup": _OP7,
+        "op8_decontamination": _OP8,
+        "op9_url_filter": _OP9,
+        "op10_line_dedup": _OP10,
+    }
