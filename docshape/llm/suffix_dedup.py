@@ -491,12 +491,14 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, *, length: int = LENGTH
 
     # a slice in one block only: its ranges are the block's; else each block that holds it gets them
     # or, if its first document comes after the slice's, all of it
-    owners = distinct.where("holders > 1").select(*one, "owner")
+    inner = covered.where("holders > 1").groupBy(*one).agg(F.collect_set(F.struct("low", "high")).alias("inner"))
+    owners = distinct.where("holders > 1").select(*one, "owner").join(inner, one, "left")
     held = parted.select(*one, *block, "first_doc", "at", F.octet_length("slice").alias("size")).join(owners, one)
-    later = held.where("first_doc > owner").select(*block, "at", F.lit(0).alias("low"), F.col("size").alias("high"))
-    equal = held.where("first_doc = owner").select(*one, *block, "at").join(covered.where("holders > 1").select(*one, "low", "high"), one).select(*block, "at", "low", "high")
+    entire = F.array(F.struct(F.lit(0).alias("low"), F.col("size").alias("high")))
+    gone = F.when(F.col("first_doc") > F.col("owner"), entire).otherwise(F.col("inner"))
+    several = held.select(*block, "at", F.explode(gone).alias("r")).select(*block, "at", "r.low", "r.high")
     single = covered.where("holders = 1").select(*block, "at", "low", "high")
-    in_blocks = single.unionByName(later).unionByName(equal).groupBy(*block).agg(F.collect_set(F.struct(*shifted())).alias("own"))
+    in_blocks = single.unionByName(several).groupBy(*block).agg(F.collect_set(F.struct(*shifted())).alias("own"))
     judged = materialize(spark, blocks.select(*block, "first_doc", F.octet_length("block").cast("long").alias("size")).join(in_blocks, block, "left"), "repeats-judged")
     discard(spark, blocks, distinct, covered, *([crowded] if n_crowded else []))
     whole = F.array(F.struct(F.lit(0).cast("long").alias("low"), F.col("size").alias("high")))
