@@ -492,7 +492,8 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, *, length: int = LENGTH
     # a slice in one block only: its ranges are the block's; else each block that holds it gets them
     # or, if its first document comes after the slice's, all of it
     inner = covered.where("holders > 1").groupBy(*one).agg(F.collect_set(F.struct("low", "high")).alias("inner"))
-    owners = distinct.where("holders > 1").select(*one, "owner").join(inner, one, "left")
+    # written, so that both sides of the next join come from a shuffle: only such joins are split where a slice is in very many blocks
+    owners = materialize(spark, distinct.where("holders > 1").select(*one, "owner").join(inner, one, "left"), "repeats-owners")
     held = parted.select(*one, *block, "first_doc", "at", F.octet_length("slice").alias("size")).join(owners, one)
     entire = F.array(F.struct(F.lit(0).alias("low"), F.col("size").alias("high")))
     gone = F.when(F.col("first_doc") > F.col("owner"), entire).otherwise(F.col("inner"))
@@ -500,7 +501,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, *, length: int = LENGTH
     single = covered.where("holders = 1").select(*block, "at", "low", "high")
     in_blocks = single.unionByName(several).groupBy(*block).agg(F.collect_set(F.struct(*shifted())).alias("own"))
     judged = materialize(spark, blocks.select(*block, "first_doc", F.octet_length("block").cast("long").alias("size")).join(in_blocks, block, "left"), "repeats-judged")
-    discard(spark, blocks, distinct, covered, *([crowded] if n_crowded else []))
+    discard(spark, blocks, distinct, covered, owners, *([crowded] if n_crowded else []))
     whole = F.array(F.struct(F.lit(0).cast("long").alias("low"), F.col("size").alias("high")))
     hit = found.drop("block").join(judged, block).withColumn("own", F.when(F.col("doc_id") > F.col("first_doc"), whole).otherwise(F.col("own"))).where("own is not null")
     hit = hit.select("doc_id", "mark", "at", F.explode("own").alias("r")).select("doc_id", "mark", "at", "r.low", "r.high")
