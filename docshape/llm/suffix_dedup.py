@@ -355,7 +355,8 @@ def longest_previous_factors(data: np.ndarray, offsets: np.ndarray, owner: np.nd
         return places, places
     rest = np.repeat(offsets[1:], number) - places
     words = suffix_words(data, places, rest)
-    order = np.lexsort(words[::-1])
+    # big-endian words compare like their bytes; how equal suffixes are ordered makes no difference
+    order = np.argsort(np.ascontiguousarray(words.T, ">u8").view(f"S{8 * len(words)}").ravel())
     words, rest = words[:, order], rest[order]
     value = np.repeat(owner, number)[order]
     best = np.zeros(len(places), np.int64)
