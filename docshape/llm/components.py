@@ -1,7 +1,8 @@
 """Connected components by alternating large-star and small-star contraction.
 
-Every step is a grouped minimum (combined map-side) and an equi-join, so that a node with a
-third of all edges costs one partial aggregate per task; the edge list never meets in one task.
+Every step is a grouped minimum (combined map-side) and an equi-join of edges to the minima.  A
+node may have a third of all edges: those of the heaviest nodes, at most ``staging.HEAVY``, stay where they are and
+meet a broadcast of their minima; the others are shuffled.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .staging import discard, materialize
+from .staging import HEAVY, HOT, discard, materialize
 
 #: Rounds after which something is wrong: the contraction needs O(log^2 n) of them.
 MAX_ROUNDS = 60
@@ -20,15 +21,24 @@ def _fingerprint(edges: DataFrame) -> tuple:
     return row["n"], row["x"]
 
 
+def _with_least(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """Edges with the ``m`` of their ``u``; ``least`` holds a row ``(u, m, n)`` for each, ``n`` its edges."""
+    hot = least.where(F.col("n") >= HOT)
+    if not hot.head(1):
+        return edges.join(least, "u")
+    hub = F.broadcast(hot.orderBy(F.desc("n"), "u").limit(HEAVY))
+    return edges.join(hub, "u").unionByName(edges.join(hub.select("u"), "u", "left_anti").join(least, "u"))
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+    return _with_least(both, least).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    moved = _with_least(edges, least).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -45,8 +55,9 @@ def connected_components(spark: SparkSession, edges: DataFrame, a: str, b: str,
     for k in range(1, MAX_ROUNDS):
         if not seen[0]:
             break
-        now, old = materialize(spark, _small_star(_large_star(now)), f"{name}-{k}"), now
-        discard(spark, old)
+        large = materialize(spark, _large_star(now), f"{name}-large-{k}")
+        now, old = materialize(spark, _small_star(large), f"{name}-{k}"), now
+        discard(spark, old, large)
         was, seen = seen, _fingerprint(now)
         if was == seen:
             break

@@ -20,7 +20,9 @@ Such a pair is matched in the first of the buckets that it shares.  Each pair th
 is thus confirmed, refuted or already connected.
 
 A bucket may hold a third of all sets.  Its rows meet what belongs to their bucket by a broadcast of
-the heaviest buckets, at most ``staging.HEAVY`` of them, and by a shuffle for the others.
+the heaviest buckets, at most ``staging.HEAVY`` of them, and by a shuffle for the others.  A set with
+many candidate edges is copied once for every ``staging.HOT`` of them, and the second round's comparison of a
+bucket is cut into cells of at most about ``CELL`` by ``CELL`` members, each a key of its own.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .staging import discard, join_by_weight, materialize
+from .staging import HOT, discard, hot_keys, join_by_weight, materialize
 from .textkit import LOWER, chunks, mix, set_of, span_hashes, words
 
 BINS, ROWS = 128, 4
@@ -42,6 +44,8 @@ ATTEMPTS = 64
 #: Bits of the second round's parities.
 PARITY = 1024
 _PLANES = PARITY // 64
+#: Members on a side of one cell of the second round.
+CELL = 512
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 _WORD = ~set_of("\x20\x09\x0a\x0b\x0c\x0d")
 
@@ -220,35 +224,52 @@ def near_duplicates(
 
     wanted = base.drop("mark").join(ids.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
     sets = materialize(spark, wanted.mapInArrow(_blobs(words_per_shingle), "doc_id long, shingles binary, parity array<long>"), "minhash-sets")
-    x, y = (sets.select(F.col("doc_id").alias(end), F.col("shingles").alias(name)) for end, name in (("a", "x"), ("b", "y")))
-
     def possible(a: str, b: str):
         return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
     def confirm(pairs: DataFrame) -> DataFrame:
-        return pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(_confirmed(percent), "a long, b long")
+        """The links among ``pairs``, a materialized table."""
+        found = pairs
+        for end, other, name in (("b", "a", "y"), ("a", "b", "x")):
+            parts = F.broadcast(hot_keys(pairs, end).select(end, F.ceil(F.col("n") / HOT).alias("parts")))
+            whole = F.coalesce("parts", F.lit(1))
+            dealt = found.join(parts, end, "left").withColumn("part", F.pmod(F.xxhash64(other), whole)).drop("parts")
+            held = sets.select(F.col("doc_id").alias(end), F.col("shingles").alias(name)).join(parts, end, "left")
+            held = held.select(end, name, F.explode(F.sequence(F.lit(0).cast("long"), whole - 1)).alias("part"))
+            found = dealt.join(held, [end, "part"]).drop("part")
+        return found.select("a", "b", "x", "y").mapInArrow(_confirmed(percent), "a long, b long")
 
     star = seats.where(F.col("rep") != F.col("centre")).where(possible("n_shingles", "centre_size")).select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
+    star = materialize(spark, star, "minhash-star")
     links = materialize(spark, confirm(star), "minhash-links")
     found = connected_components(spark, links, "a", "b", "minhash-cc")
 
     # Second round: members of one bucket that neither the star nor other buckets connected.
     label = found.select(F.col("node").alias("rep"), "component")
     placed = seats.where("n > 2").join(label, "rep", "left").select("key", "band", "rep", "centre", "n_shingles", F.coalesce("component", "rep").alias("component"))
-    mixed = placed.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
-    open_seats = placed.where("rep <> centre").join(mixed.select("key", "main"), "key")
+    placed = materialize(spark, placed, "minhash-placed")
+    parts = placed.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key")
+    mixed = parts.agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("rows"), F.max("n").alias("most"), F.count("*").alias("parts"))
+    mixed = materialize(spark, mixed.where("parts > 1").select("key", "main", "rows", "most"), "minhash-mixed")
+    open_seats = join_by_weight(spark, placed.where("rep <> centre"), mixed, "key", "rows")
+    # a bucket's grid: so many rows of cells for the members outside the main component, so many columns for all
+    open_seats = open_seats.withColumn("down", F.ceil((F.col("rows") - F.col("most")) / CELL)).withColumn("across", F.ceil(F.col("rows") / CELL))
     parity = sets.select(F.col("doc_id").alias("rep"), "parity")
     whole = distinct.select("rep", "bands")
     open_seats = open_seats.join(whole, "rep").where(F.array_contains("bands", F.col("key"))).withColumn("before", F.slice("bands", F.lit(1), F.col("band")))
     planes = [F.get("parity", F.lit(k)).alias(f"t{k}") for k in range(_PLANES)]
-    open_seats = open_seats.join(parity, "rep").select("key", "before", "main", "rep", "n_shingles", "component", *planes)
-    p, q = open_seats.where("component <> main").alias("p"), open_seats.alias("q")
+    open_seats = open_seats.join(parity, "rep").select("key", "before", "main", "rep", "n_shingles", "component", "down", "across", *planes)
+    own, zero = F.xxhash64("rep"), F.lit(0).cast("long")
+    p = open_seats.where("component <> main").withColumn("row", F.pmod(own, "down")).withColumn("column", F.explode(F.sequence(zero, F.col("across") - 1))).alias("p")
+    q = open_seats.withColumn("column", F.pmod(own, "across")).withColumn("row", F.explode(F.sequence(zero, F.col("down") - 1))).alias("q")
     differ = sum((F.bit_count(F.col(f"p.t{k}").bitwiseXOR(F.col(f"q.t{k}"))) for k in range(_PLANES)), F.lit(0))
     # |a & b| and |a | b| are half of |a| + |b| less and plus the difference
     near = (100 + percent) * differ <= (100 - percent) * (F.col("p.n_shingles") + F.col("q.n_shingles"))
     rest = p.join(
         q,
         (F.col("p.key") == F.col("q.key"))
+        & (F.col("p.row") == F.col("q.row"))
+        & (F.col("p.column") == F.col("q.column"))
         & (F.col("p.component") != F.col("q.component"))
         & ((F.col("q.component") == F.col("q.main")) | (F.col("p.rep") < F.col("q.rep")))
         & possible("p.n_shingles", "q.n_shingles")
@@ -256,13 +277,13 @@ def near_duplicates(
         & ~F.arrays_overlap("p.before", "q.before"),
     ).select(F.least("p.rep", "q.rep").alias("a"), F.greatest("p.rep", "q.rep").alias("b"))
     rest = materialize(spark, rest.distinct(), "minhash-rest")
-    discard(spark, seats)
+    discard(spark, seats, placed, mixed)
     if rest.head(1):
         more = materialize(spark, confirm(rest), "minhash-more")
         if more.head(1):
             again = more.unionByName(found.select(F.col("component").alias("a"), F.col("node").alias("b")))
             found = connected_components(spark, again, "a", "b", "minhash-cc2")
-    discard(spark, sets, links, rest, ids)
+    discard(spark, sets, star, links, rest, ids)
 
     component = distinct.select(*alike, "rep").join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select(*alike, F.coalesce("component", "rep").alias("component"))
     result = signed.select("doc_id", "mark", *alike).join(component, alike, "left")

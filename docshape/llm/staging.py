@@ -64,6 +64,18 @@ def join_by_weight(spark: SparkSession, big: DataFrame, small: DataFrame, key: s
     return big.join(heavy, key).unionByName(light)
 
 
+#: Rows of one key that no task minds.
+HOT = 4096
+
+
+def hot_keys(df: DataFrame, key: str) -> DataFrame:
+    """``(key, n)`` of the keys with most rows, small enough to broadcast: at most ``HEAVY``, of ``HOT`` rows or more each.
+
+    A key that isn't among them has less than ``HOT`` rows, or less than 1 / ``HEAVY`` of all.
+    """
+    return df.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") >= HOT).orderBy(F.desc("n"), key).limit(HEAVY)
+
+
 def discard(spark: SparkSession, *tables: DataFrame) -> None:
     """Delete materialized tables that nothing will read again."""
     for table in tables:

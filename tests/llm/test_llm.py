@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from docshape.llm import bpe, decontaminate, gif, langid, line_dedup, minhash, quality, secret_scan, suffix_dedup, textkit, url_filter
+from docshape.llm import bpe, components, decontaminate, gif, langid, line_dedup, minhash, quality, secret_scan, staging, suffix_dedup, textkit, url_filter
 from docshape.llm.components import connected_components
 from docshape.llm.queries import oracle_sql, queries, vocabulary_path
 
@@ -118,6 +118,38 @@ def test_minhash_second_round_takes_short_texts(spark):
     assert sorted(tuple(r)[:4] for r in found.collect()) == linked(rows, 4, 80)
 
 
+@pytest.fixture
+def few_are_many(monkeypatch):
+    """Hot keys from three rows on, and cells of two members a side."""
+    for module in (components, minhash, staging):
+        monkeypatch.setattr(module, "HOT", 3)
+    monkeypatch.setattr(minhash, "CELL", 2)
+
+
+def test_components_around_hubs(spark, few_are_many):
+    """The hub is the largest node of one star and the smallest of another; a chain joins two leaves."""
+    edges = [(1000, k) for k in range(100, 150)] + [(5, k) for k in range(200, 260)] + [(120, 300), (300, 301), (301, 230)] + [(k, k + 1) for k in range(400, 420)]
+    found = dict(connected_components(spark, spark.createDataFrame(edges, "a long, b long"), "a", "b").collect())
+    nodes = {n for e in edges for n in e}
+    assert found == {n: 400 if n >= 400 and n != 1000 else 5 for n in nodes if n not in (5, 400)}
+
+
+def test_minhash_splits_hot_sets_and_buckets(spark, few_are_many):
+    """Windows that move by one word share buckets in long chains: many edges a set, second rounds of many cells."""
+    rng, rows = random.Random(8), []
+    for group in (3, 63, 123):
+        words = [f"g{group}w{k}" for k in range(47)]
+        rows += [(len(rows) + k, " ".join(words[k : k + 12])) for k in range(36)]
+    base = [f"b{k}" for k in range(300)]
+    for _ in range(60):
+        edited = list(base)
+        for _ in range(rng.randrange(9)):
+            edited[rng.randrange(300)] = f"e{rng.random()}"
+        rows.append((len(rows), " ".join(edited)))
+    found = minhash.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), words_per_shingle=4)
+    assert sorted(tuple(r)[:4] for r in found.collect()) == linked(rows, 4, 80)
+
+
 def thue_morse(k):
     """Two texts of 2**k letters whose polynomial hashes modulo 2**64 are equal for every base, from k = 10 on."""
     one, swap = "a", str.maketrans("ab", "ba")
