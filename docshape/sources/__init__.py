@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 
 from ..operators.validate import CDDL
 
+#: Fixed value: rows of a task; some documents take milliseconds each.
+ROWS = 50_000
+
 
 def read_schema(spark: SparkSession, path: str, names: bool = True) -> CDDL:
     """A schema file; several files under ``path`` are one schema, in the order of their names."""
@@ -33,13 +36,13 @@ def read_json_documents(spark: SparkSession, path: str, lines: bool = True) -> D
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """The rows of a file scan, dealt to all cores if the files have fewer splits than that.
+    """The rows of a file scan, dealt evenly to all cores, at most ``ROWS`` or so to a task.
 
-    For Python-bound work on few or unsplittable files.  With as many splits as cores, as any large table has,
-    nothing is shuffled.
+    For work that is large for the bytes it reads.  How many splits a scan has says little: a row group is
+    read by one task, and millions of narrow rows may be one group.  Rows are counted from the files' footers.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(max(cores, -(-df.count() // ROWS)))
 
 
 def write_verdicts(df: DataFrame, good: str, bad: str, verdict: str = "verdict") -> None:

@@ -140,3 +140,36 @@ def test_queries_match_their_sql(spark, name):
 def test_every_query_plans(spark):
     for name, query in engine.queries().items():
         assert query(spark, SF).columns, name
+
+
+def test_spread_deals_rows_not_splits(spark, monkeypatch):
+    """Rows of one crowded split go to all tasks, and to more tasks as they grow."""
+    from docshape import sources
+
+    monkeypatch.setattr(sources, "ROWS", 1000)
+    crowded = spark.range(0, 40_000, 1, 16).where("id < 2500").union(spark.range(30_000, 50_000, 1, 1))  # 17 splits
+    sizes = [r["n"] for r in sources.spread(crowded).groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+    assert len(sizes) == 23 and sum(sizes) == 22_500 and max(sizes) < 1500
+
+
+def test_repeated_documents_are_judged_once(spark):
+    import pyarrow as pa
+    from docshape.operators import classify_ledger
+    from docshape.operators.repeats import MOST, different, recalled
+
+    values, first, place = different(pa.array(["b", None, "a", "b"]))
+    assert values.to_pylist() == ["b", "a"] and first.tolist() == [0, 2] and place.to_pylist() == [0, None, 1, 0]
+    calls, known = [], {}
+    for k in [1, 2, 1, *range(MOST + 5), 1]:
+        assert recalled(known, f"{k}", lambda: calls.append(k) or k * 2) == k * 2  # noqa: B023
+    assert calls[:2] == [1, 2] and calls[2] == 0 and len(known) <= MOST
+    schema, texts = CDDL('p = { a: 1..3, ? b: "x" }'), ['{"a":1}', '{"a":9,"b":"y"}', "{", None, '{"b":"x","a":2}', '{"a":01}', '{"a":1,"a":7}', "[1]"]
+    for rows in (texts, texts * 40):  # below and above the share at which they are asked for first
+        df = spark.createDataFrame([(k, t) for k, t in enumerate(rows)], "k int, t string").coalesce(1)
+        for r in validate(df, schema, "t").withColumn("ok", is_valid(schema, "t")).collect():
+            want = (None, None) if r["t"] is None else schema.check(r["t"])
+            got = (None, None) if r["verdict"] is None else (r["verdict"]["status"], r["verdict"]["issues"])
+            assert got[0] == want[0] and r["ok"] == (None if r["t"] is None else want[0] == "valid")
+            assert want[1] is None or [tuple(i) for i in got[1]] == [tuple(vars(i).values()) for i in want[1]]
+    df = spark.createDataFrame([(bytes([k % 3]) if k % 4 else None,) for k in range(100)], "t binary")
+    assert {(None if r["t"] is None else r["t"][0], r["ledger"] and r["ledger"]["status"]) for r in classify_ledger(df, "transaction = 0 / 2", "t").collect()} == {(None, None), (0, "valid"), (1, "mismatch"), (2, "valid")}
