@@ -124,18 +124,22 @@ def flags_by_window(nodes: DataFrame, key: str) -> DataFrame:
 def items_at(nodes: DataFrame, offsets: DataFrame, key: str, offset: str = "offset") -> DataFrame:
     """The innermost item at each byte offset: ``(key, offset, path, kind, node_id)``.
 
-    An equi-join by document and a range test inside it; null where no item holds the byte.
+    An equi-join by document and a range test inside it; null where no item holds the byte.  Both joins sort:
+    Spark takes node tables for as small as the files that they were made from, and would broadcast them.
     """
     spans = nodes.where("start is not null").select(key, "node_id", "path", "kind", "depth", "start", "end")
-    hit = offsets.select(key, offset).distinct().join(spans, key, "left").where(F.col("start").isNull() | ((F.col("start") <= F.col(offset)) & (F.col(offset) < F.col("end"))))
+    hit = offsets.select(key, offset).distinct().join(spans.hint("merge"), key, "left").where(F.col("start").isNull() | ((F.col("start") <= F.col(offset)) & (F.col(offset) < F.col("end"))))
     best = hit.groupBy(key, offset).agg(F.max_by(F.struct("path", "kind", "node_id"), F.struct("depth", "node_id")).alias("at"))
-    return offsets.join(best, [key, offset], "left").select(key, offset, "at.path", "at.kind", "at.node_id")
+    return offsets.join(best.hint("merge"), [key, offset], "left").select(key, offset, "at.path", "at.kind", "at.node_id")
 
 
 def items_of_issues(nodes: DataFrame, issues: DataFrame, key: str) -> DataFrame:
-    """Each issue with the span of the item that its path names (tags share their content's path)."""
+    """Each issue with the span of the item that its path names (tags share their content's path).
+
+    The join sorts, as that of ``items_at``.
+    """
     seats = nodes.where("role <> 'key' and role <> 'chunk'").groupBy(key, "path").agg(F.min_by(F.struct("node_id", "start", "end"), "depth").alias("at"))
-    return issues.join(seats, [key, "path"], "left").select(issues["*"], "at.node_id", "at.start", "at.end")
+    return issues.join(seats.hint("merge"), [key, "path"], "left").select(issues["*"], "at.node_id", "at.start", "at.end")
 
 
 def cbor_sequence_items(df: DataFrame, key: str, column: str) -> DataFrame:

@@ -173,3 +173,15 @@ def test_repeated_documents_are_judged_once(spark):
             assert want[1] is None or [tuple(i) for i in got[1]] == [tuple(vars(i).values()) for i in want[1]]
     df = spark.createDataFrame([(bytes([k % 3]) if k % 4 else None,) for k in range(100)], "t binary")
     assert {(None if r["t"] is None else r["t"][0], r["ledger"] and r["ledger"]["status"]) for r in classify_ledger(df, "transaction = 0 / 2", "t").collect()} == {(None, None), (0, "valid"), (1, "mismatch"), (2, "valid")}
+
+
+@pytest.mark.parametrize("name", ["q36_items_at", "q36_items_of_issues"])
+def test_node_tables_are_not_broadcast(spark, name):
+    plan = engine.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+@pytest.mark.parametrize("name", ["q43_work", "q43_limits", "q42_ledger_classify", "q36_items_of_issues", "q52_choice_flags", "q23_typed_struct", "q33_issues_by_path", "q36_items_at"])
+def test_document_queries_deal_their_rows(spark, name):
+    plan = engine.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Repartition" in plan
