@@ -12,6 +12,7 @@ from __future__ import annotations
 import base64
 import heapq
 import unicodedata
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -19,11 +20,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .textkit import chunks, distinct_spans, ragged
+from .textkit import chunks, distinct_spans, ragged, trimmed
 
 #: Largest rank file that is shipped to executors.
 MAX_RANK_BYTES = 64 << 20
-CACHE, LONGEST_CACHED = 1 << 18, 64
+CACHE, LONGEST_CACHED = 1 << 17, 64
 _BLOCK = 256
 
 # Code point classes; a symbol is a class, or an apostrophe with one or two letters to take.
@@ -69,7 +70,7 @@ def _step(symbol: int, state: int) -> tuple[int, bool]:
 
 
 # Symbols 8-14 are 0-6 at the start of a text: constant functions, whatever came before.
-_NEXT, _STARTS = np.zeros(16 * 8, np.intp), np.zeros(16 * 8, bool)
+_NEXT, _STARTS = np.zeros(16 * 8, np.uint8), np.zeros(16 * 8, bool)
 for _symbol in range(7):
     for _state in range(7):
         _NEXT[8 * _symbol + _state], _STARTS[8 * _symbol + _state] = _step(_symbol, _state)
@@ -81,19 +82,19 @@ def _states_before(symbols: np.ndarray) -> np.ndarray:
     """The state before each symbol, from ``_FRESH``: an exclusive scan of function composition."""
     n = len(symbols)
     rows = -(-n // _BLOCK)
-    row = np.full(rows * _BLOCK, 8 * 7, np.intp)
+    row = np.full(rows * _BLOCK, 8 * 7, np.uint8)
     row[:n] = symbols
     row[:n] *= 8
     row = np.ascontiguousarray(row.reshape(rows, _BLOCK).T)  # row[t]: the t-th symbol of every block
-    folded = np.repeat(np.arange(7, dtype=np.intp)[:, None], rows, 1)
+    folded = np.repeat(np.arange(7, dtype=np.uint8)[:, None], rows, 1)
     for t in range(_BLOCK):
         folded += row[t]
         folded = _NEXT[folded]
-    state, at = _FRESH, np.empty(rows, np.intp)
+    state, at = _FRESH, np.empty(rows, np.uint8)
     for k, function in enumerate(folded.T.tolist()):
         at[k] = state
         state = function[state]
-    before = np.empty((_BLOCK, rows), np.intp)
+    before = np.empty((_BLOCK, rows), np.uint8)
     for t in range(_BLOCK):
         before[t] = at
         at = _NEXT[row[t] + at]
@@ -109,7 +110,7 @@ def pretoken_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int64)
     places = np.flatnonzero((data & 0xC0) != 0x80)  # first bytes of code points
     points = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
-    symbol = _classes()[points].astype(np.intp)
+    symbol = _classes()[points]
     n = len(points)
     begins = np.zeros(n + 2, bool)
     begins[np.searchsorted(places, offsets)] = True  # also the end
@@ -120,8 +121,8 @@ def pretoken_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
             symbol[k] = _TAKE1
         elif one and not begins[k + 2] and one + chr(points[k + 2]) in _TWO:
             symbol[k] = _TAKE2
-    before = _states_before(symbol + 8 * begins[:n])
-    starts = _STARTS[8 * (symbol + 8 * begins[:n]) + before]
+    marked = symbol + np.uint8(8) * begins[:n]
+    starts = _STARTS[np.uint8(8) * marked + _states_before(marked)]
     white = (symbol == _SPACE) | (symbol == _BLANK)
     inner = np.zeros(n, bool)  # blank after a blank of the same text
     inner[1:] = white[:-1] & ~begins[1:n]
@@ -143,20 +144,27 @@ class Tokenizer:
         self.lengths = np.array([len(t) for t in by_id], np.int64)
         self.places = np.cumsum(self.lengths) - self.lengths
         self.blob = np.frombuffer(b"".join(by_id), np.uint8)
-        self.cache: dict[bytes, list[int]] = {}
+        self.cache: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}  # the cache until it was last full: what is used again stays
 
-    def merged(self, piece: bytes) -> list[int]:
-        """Token ids of one pre-token."""
+    def merged(self, piece: bytes) -> bytes:
+        """Token ids of one pre-token, four bytes each."""
         found = self.cache.get(piece)
         if found is None:
             whole = self.ranks.get(piece)
-            found = [whole] if whole is not None else self._short(piece) if len(piece) <= 40 else self._long(piece)
+            if whole is not None:  # found as fast without the cache
+                return whole.to_bytes(4, "little")
+            found = self.before.get(piece) or array("I", self._short(piece) if len(piece) <= 40 else self._long(piece)).tobytes()
             if len(piece) <= LONGEST_CACHED:
                 if len(self.cache) >= CACHE:
-                    self.cache.clear()
+                    self.before, self.cache = self.cache, {}
                 self.cache[piece] = found
         return found
 
+    def forget(self) -> None:
+        """Empty the cache."""
+        self.cache, self.before = {}, {}
+
     def _short(self, piece: bytes) -> list[int]:
         parts, ranks = [piece[k : k + 1] for k in range(len(piece))], self.ranks
         pairs = [ranks.get(parts[k] + parts[k + 1], 1 << 60) for k in range(len(parts) - 1)]
@@ -203,8 +211,8 @@ class Tokenizer:
         first, which = distinct_spans(data, starts, ends)
         raw = data.tobytes()
         pieces = [self.merged(raw[a:b]) for a, b in zip(starts[first].tolist(), ends[first].tolist())]
-        size = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        flat = np.fromiter((k for piece in pieces for k in piece), np.int64, int(size.sum()))
+        size = np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4
+        flat = np.frombuffer(b"".join(pieces), np.uint32).astype(np.int64)
         begin = np.cumsum(size) - size
         ids = flat[ragged(begin[which], size[which])]
         made = np.zeros(len(starts) + 1, np.int64)
@@ -243,10 +251,16 @@ def _text(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", docs["text"].cast("string").alias("text"))
 
 
-def _rows(batch: pa.RecordBatch, tokenizer: Tokenizer) -> Iterator[tuple]:
-    for low, high, data, at in chunks(batch.column("text")):
-        ids, bounds = tokenizer.encode(data, at)
-        yield batch.column("doc_id").slice(low, high - low), ids, bounds
+def _rows(batches: Iterator[pa.RecordBatch], tokenizer: Tokenizer) -> Iterator[tuple]:
+    """Keys, ids and bounds of each chunk.  Idle workers keep their memory while others need it: the task's cache goes with it."""
+    try:
+        for batch in trimmed(batches):
+            for low, high, data, at in chunks(batch.column("text")):
+                ids, bounds = tokenizer.encode(data, at)
+                yield batch.column("doc_id").slice(low, high - low), ids, bounds
+            batch = data = None  # noqa: PLW2901
+    finally:
+        tokenizer.forget()
 
 
 def _cut(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
@@ -267,13 +281,12 @@ def encode_documents(spark: SparkSession, docs: DataFrame, ranks: bytes) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = _tokenizer(shipped.value)
-        for batch in batches:
-            for keys, ids, bounds in _rows(batch, tokenizer):
-                made = tokenizer.offsets(ids)
-                inside = made[:-1] - np.repeat(made[bounds[:-1]], np.diff(bounds))
-                yield pa.RecordBatch.from_arrays(
-                    [keys, pa.array(np.diff(bounds)), _cut(ids.astype("<u4"), bounds), _cut(inside.astype("<u4"), bounds)], ["doc_id", "n_tokens", "ids", "offsets"]
-                )
+        for keys, ids, bounds in _rows(batches, tokenizer):
+            made = tokenizer.offsets(ids)
+            inside = made[:-1] - np.repeat(made[bounds[:-1]], np.diff(bounds))
+            yield pa.RecordBatch.from_arrays(
+                [keys, pa.array(np.diff(bounds)), _cut(ids.astype("<u4"), bounds), _cut(inside.astype("<u4"), bounds)], ["doc_id", "n_tokens", "ids", "offsets"]
+            )
 
     return _text(docs).mapInArrow(run, "doc_id long, n_tokens long, ids binary, offsets binary")
 
@@ -300,11 +313,10 @@ def round_trip(spark: SparkSession, docs: DataFrame, ranks: bytes) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = _tokenizer(shipped.value)
-        for batch in batches:
-            for keys, ids, bounds in _rows(batch, tokenizer):
-                made = tokenizer.offsets(ids)
-                yield pa.RecordBatch.from_arrays(
-                    [keys, pa.array(np.diff(bounds)), _cut(ids.astype("<u4"), bounds), _cut(tokenizer.decode(ids), made[bounds])], ["doc_id", "n_tokens", "ids", "decoded"]
-                )
+        for keys, ids, bounds in _rows(batches, tokenizer):
+            made = tokenizer.offsets(ids)
+            yield pa.RecordBatch.from_arrays(
+                [keys, pa.array(np.diff(bounds)), _cut(ids.astype("<u4"), bounds), _cut(tokenizer.decode(ids), made[bounds])], ["doc_id", "n_tokens", "ids", "decoded"]
+            )
 
     return _text(docs).mapInArrow(run, "doc_id long, n_tokens long, ids binary, decoded binary")

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .staging import discard, materialize
-from .textkit import LOWER, chunks, mix, set_of, span_hashes, words
+from .textkit import LOWER, chunks, mix, set_of, span_hashes, trimmed, words
 
 #: Rated documents that fitting reads at most, those with the smallest hashes.
 SAMPLE = 6_000
@@ -267,7 +267,7 @@ def select(docs: DataFrame, model: Model | None, *, least: float = 0.5) -> DataF
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in trimmed(batches):
             if model is None:
                 yield batch
                 continue

@@ -6,6 +6,8 @@ chunk (or on the longest single text), not on how many rows a batch has.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -164,6 +166,28 @@ def chunks(column: pa.Array, size: int = CHUNK) -> Iterator[tuple[int, int, np.n
         low = high
 
 
+@lru_cache(maxsize=1)
+def _malloc_trim():
+    return getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+
+
+def trim() -> None:
+    """Give free memory back to the machine; both allocators would keep what the largest batch took."""
+    pa.default_memory_pool().release_unused()
+    if _malloc_trim():
+        _malloc_trim()(0)
+
+
+def trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; free memory goes back after each, and what the task held after the last."""
+    for batch in batches:
+        yield batch
+        del batch
+        trim()
+    gc.collect()
+    trim()
+
+
 def words(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Maximal runs of bytes for which ``inside`` (by byte value) holds, never across rows.
 

@@ -3,6 +3,7 @@ import html
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from fractions import Fraction
 from urllib.parse import urljoin
@@ -435,6 +436,20 @@ def test_bpe_against_tiktoken(tokenizer):
             assert ids[bounds[k - low] : bounds[k - low + 1]].tolist() == own.encode_ordinary(texts[k]), texts[k]
 
 
+def test_bpe_memory(tokenizer):
+    """A chunk takes a few bytes for each of its own, and no word stays in the worker after its task."""
+    text = " ".join(f"w{k:x}{k * k:x}" for k in range(1 << 15)).encode()
+    bpe.pretoken_starts(np.frombuffer(text[:100], np.uint8), np.array([0, 100]))
+    tracemalloc.start()
+    bpe.pretoken_starts(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 32 * len(text)
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2], "text": [text.decode(), None]})
+    assert sum(len(ids) for _, ids, _ in bpe._rows(iter([batch, batch.slice(0, 0)]), tokenizer)) > 0
+    assert not tokenizer.cache and not tokenizer.before
+
+
 def test_bpe_tables(spark, odd, empty):
     raw = bpe.read_ranks(vocabulary_path())
     encoded = bpe.encode_documents(spark, odd, raw)
