@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,11 +15,27 @@ from ..model import cbor, jsontext
 from ..model.nodes import Item
 
 
+def _encoded(values: pa.Array) -> pa.Array:
+    """Each value as CBOR.  A struct is joined from its fields; of whole numbers and texts each different one is encoded once."""
+    kind, null = values.type, pa.scalar(b"\xf6", pa.binary())
+    if pa.types.is_struct(kind) and 0 < kind.num_fields and len({f.name for f in kind}) == kind.num_fields:
+        parts = [pa.scalar(cbor.head(5, kind.num_fields), pa.binary())]
+        for field, own in zip(kind, values.flatten()):
+            parts += [pa.scalar(cbor.encode(Item("text", field.name)), pa.binary()), _encoded(own)]
+        joined = pc.binary_join_element_wise(*parts, pa.scalar(b"", pa.binary()))
+        return pc.if_else(values.is_valid(), joined, null) if values.null_count else joined
+    if pa.types.is_integer(kind) or pa.types.is_string(kind):
+        coded = values.dictionary_encode()
+        each = pa.array([cbor.encode(Item("int" if pa.types.is_integer(kind) else "text", v)) for v in coded.dictionary.to_pylist()], pa.binary())
+        return pc.fill_null(each.take(coded.indices), null)
+    return pa.array([cbor.encode(cbor.item_of(v)) for v in values.to_pylist()], pa.binary())
+
+
 @F.arrow_udf(T.BinaryType())
 def cbor_encode(values: pa.Array) -> pa.Array:
     """A struct, array, string, binary, number or boolean as CBOR; struct fields become text keys in
     order, and null fields CBOR null.  Encoding is the shortest."""
-    return pa.array([cbor.encode(cbor.item_of(v)) for v in values.to_pylist()], pa.binary())
+    return _encoded(values)
 
 
 @F.arrow_udf(T.BinaryType())

@@ -2,16 +2,22 @@ import json
 import random
 
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from docshape import queries as engine
 from docshape.functions import cbor_decode_json, cbor_encode, json_compact
-from docshape.operators import CDDL, decode_nodes, validate
+from docshape.functions.codecs import _encoded
+from docshape.interp.quick import compile_quick
+from docshape.model import cbor
+from docshape.model.nodes import Item
+from docshape.operators import CDDL, Options, decode_nodes, validate
 from docshape.operators import is_valid
 from docshape.plans.json import compile_json
 from docshape.plans import NotCompilable, compile_rule, matches
 from docshape.sources import read_cbor, read_cbor_hex, read_json_documents, read_schema, write_verdicts
+from docshape.syntax import parse
 from docshape.streaming import issue_counts, validate_stream, write_split
 
 SF = "/root/testdata/sf0.001"
@@ -24,6 +30,47 @@ def test_null_and_malformed_documents(spark):
     assert validate(df.limit(0), "a = int", "doc").count() == 0
 
 
+QUICK = [
+    'o = { cust: uint .lt 700, status: "F" / "O" }', "o = { a: int, b: tstr }", 'o = { "a": int .ge -3, b: 1 / "x" / -2 }', "o = { a: uint .gt 5 / tstr }", "o = {}",
+]
+
+
+@pytest.mark.parametrize("schema", QUICK)
+def test_plain_cbor_maps_need_no_walker(schema):
+    """The quick test says what the walker says, or nothing; of plain maps it judges all."""
+    rng, tree = random.Random(7), parse(schema)
+    quick, told = compile_quick(tree, "o", Options()), 0
+    names = [e.key.word or e.key.value.value for e in tree.rules[0].type.choices[0].base.group.choices[0]]
+    values = [0, 1, -1, -2, -3, -4, 5, 6, 699, 700, 1 << 40, -(1 << 63), 1 << 70, "", "F", "O", "x", "é" * 300, b"F", None, True, 1.0, [1], {"a": 1}]
+    for _ in range(600):
+        plain = [(k, rng.choice(values[:12] + values[13:18])) for k in names]
+        odd = [(rng.choice(["a", "b", "cust", "status", 1]), rng.choice(values)) for _ in range(rng.randrange(4))]
+        document = cbor.encode(Item("map", [(cbor.item_of(k), cbor.item_of(v)) for k, v in (plain if rng.random() < 0.5 else odd if rng.random() < 0.3 else rng.sample(plain, len(plain)) + odd)], indefinite=rng.random() < 0.05))
+        if rng.random() < 0.3:
+            at = rng.randrange(len(document))
+            document = rng.choice([document[:at], document + document[:at], document[:at] + bytes([rng.randrange(256)]) + document[at + 1 :]])
+        found = quick(document)
+        told += found is not None
+        assert found is None or found == (CDDL(tree.source).check(document, "o")[0] == "valid"), document
+    assert told > 150
+    plain = [cbor.encode(cbor.item_of({k: v for k in names})) for v in (0, 699, -4, "F", "é" * 300)]
+    assert None not in map(quick, plain)
+
+
+@pytest.mark.parametrize("schema", ["o = { ? a: int }", "o = { a: int, * tstr => any }", "o = { a: float }", "o = { a: int }\no /= int", "o = { a: uint }\nuint = tstr", "o = { a: int, a: tstr }", "o = [ int ]", "o = { a: k }\nk = int", "o = { a => int }", "o = { a: uint .size 1 }"])
+def test_other_rules_are_the_walkers(schema):
+    assert compile_quick(parse(schema), "o", Options()) is None
+    assert compile_quick(parse("o = { a: int }"), "o", Options(max_work=2)) is None
+
+
+def test_cbor_encode_by_columns():
+    """Encoding by columns gives the bytes of encoding by values."""
+    rows = [{"i": k % 7 - 3 << k % 40, "s": None if k % 5 == 0 else "é" * (k % 30), "f": [0.0, -0.0, 1.5, None][k % 4], "n": None if k % 3 == 0 else {"b": k % 2 == 0, "l": [k]}} for k in range(300)]
+    values = pa.array([*rows, None, rows[0]], pa.struct([("i", pa.int64()), ("s", pa.string()), ("f", pa.float64()), ("n", pa.struct([("b", pa.bool_()), ("l", pa.list_(pa.int32()))]))]))
+    for own in (values, values[5:200], values[:0], *values.flatten()):
+        assert _encoded(own).to_pylist() == [cbor.encode(cbor.item_of(v)) for v in own.to_pylist()]
+
+
 TYPED = ["a = int", "a = uint .le 5", "a = {x: -2..3, ? s: tstr}", 'a = {x: int, s: "a" / "b"}', "a = {x: any, ? f: float .lt 1.0, ? s: tstr .size (1..2)}", "a = {x: int, ? l: [* 0..3], * tstr => any}", "a = {x: uint, l: [int, * uint]} / {x: nint}"]
 
 
