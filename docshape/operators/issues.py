@@ -11,9 +11,10 @@ def explode_issues(df: DataFrame, keys: list[str], verdict: str = "verdict") ->
     return df.select(*keys, F.posexplode(f"{verdict}.issues").alias("ord", "issue")).select(*keys, "ord", "issue.*")
 
 
-def issues_by_path(df: DataFrame, verdict: str = "verdict") -> DataFrame:
-    """``(path, kind, n_issues)``: counts combine map-side."""
-    return explode_issues(df, [], verdict).groupBy("path", "kind").agg(F.count("*").alias("n_issues"))
+def issues_by_path(df: DataFrame, verdict: str = "verdict", weight: str | None = None) -> DataFrame:
+    """``(path, kind, n_issues)``: counts combine map-side.  A row stands for as many as its ``weight`` says."""
+    n = F.count("*") if weight is None else F.sum(weight)
+    return explode_issues(df, [weight] if weight else [], verdict).groupBy("path", "kind").agg(n.alias("n_issues"))
 
 
 def deepest_issues(df: DataFrame, keys: list[str], k: int, verdict: str = "verdict") -> DataFrame:

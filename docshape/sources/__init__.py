@@ -80,6 +80,17 @@ def by_document(df: DataFrame, column: str, work: Callable[[DataFrame, list[str]
     return df.join(F.broadcast(each), column).select(*df.columns, *[c for c in each.columns if c != column])
 
 
+def weighed(df: DataFrame, column: str, weight: str) -> DataFrame:
+    """``(column, weight)``: documents and for how many rows each stands, for work that only counts rows.
+
+    Each different document comes once where they are few and short; otherwise each row, dealt as by ``spread``.
+    """
+    few, rows = _survey(df, column)
+    if few:
+        return _dealt(df.groupBy(column).agg(F.count("*").alias(weight)), 0)
+    return _dealt(df.select(column), rows).withColumn(weight, F.lit(1).cast("long"))
+
+
 def write_verdicts(df: DataFrame, good: str, bad: str, verdict: str = "verdict") -> None:
     """Valid rows to one Parquet folder, all others with their verdicts to another.
 

@@ -258,10 +258,25 @@ def test_rows_of_few_documents_stay_in_the_jvm(spark, name):
 
 
 @pytest.mark.parametrize("few", [None, 0])
-@pytest.mark.parametrize("name", ["q34_report_topk"])
+@pytest.mark.parametrize("name", ["q33_issues_by_path", "q34_report_topk"])
 def test_few_documents_give_what_the_sql_gives(spark, monkeypatch, name, few):
     from docshape import sources
 
     if few is not None:
         monkeypatch.setattr(sources, "FEW", few)
     test_queries_match_their_sql(spark, name)
+
+
+@pytest.mark.parametrize("few", [None, 0])
+def test_counts_judge_each_document_once(spark, monkeypatch, few):
+    """Few documents come once with their rows' number, others as they are; the sums are the same."""
+    from docshape import sources
+    from docshape.operators import issues_by_path
+
+    if few is not None:
+        monkeypatch.setattr(sources, "FEW", few)
+    df = spark.createDataFrame([(t,) for t in ['{"a":1}', '{"a":9}', "{", None] * 100 + ['{"a":8}']], "t string")
+    docs = sources.weighed(df, "t", "n")
+    assert sorted(r["n"] for r in docs.collect()) == ([1, 100, 100, 100, 100] if few is None else [1] * 401)
+    got = {(r["path"], r["kind"]): r["n_issues"] for r in issues_by_path(validate(docs, "p = { a: 1..3 }", "t"), weight="n").collect()}
+    assert got == {("/a", "mismatch"): 101, ("", "malformedDocument"): 100}
